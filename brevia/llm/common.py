@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What separates words in most contracts: the six ASCII blanks. bytes.split() splits on exactly these.
 BLANKS = r"[^\x20\x09-\x0D]+"
@@ -20,6 +23,28 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
+
+
+def arrow_batch(schema: T.StructType, columns: Sequence) -> pa.RecordBatch:
+    """A batch of columns given as Arrow arrays, numpy arrays or lists."""
+    made = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=_ARROW[f.dataType.simpleString()]) for f, c in zip(schema.fields, columns, strict=True)]
+    return pa.RecordBatch.from_arrays(made, names=schema.names)
+
+
+def map_texts(df: DataFrame, keep: Sequence[str], added: str, fn: Callable[[list], Sequence]) -> DataFrame:
+    """The columns kept, as they are, and the columns `added` (DDL) that fn makes of a list of texts. No shuffle."""
+    new = T.StructType.fromDDL(added)
+    schema = T.StructType([*(df.schema[k] for k in keep), *new.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = arrow_batch(new, fn(b.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *made.columns], names=schema.names)
+
+    return df.select(*keep, "text").mapInArrow(run, schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the shared folder the session names.
 

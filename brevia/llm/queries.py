@@ -27,5 +27,24 @@ def op8_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup, op8_histogram_sort_shards)}
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digests, format_conversations
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    return digests(format_conversations(turns.unionByName(planted)))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup, op8_histogram_sort_shards, op9_chat_formatting, op10_license_scan)}
 ORACLES: dict[str, str] = {}

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_words, components, cut
+from .common import ascii_words, components, cut, map_texts
 
 SEED = 42
 #: Fingerprints of one task at most, twice: larger buckets are compared block by block.
@@ -44,13 +44,11 @@ def fingerprint(words: list[bytes], k: int = 3) -> int:
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """One row (doc_id, row_hash, fp) per document; fp is the fingerprint's bits as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fps = np.array([fingerprint(ascii_words(t), k) for t in b["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "row_hash": b["row_hash"], "fp": fps})
+    def run(texts: list) -> list:
+        return [np.array([fingerprint(ascii_words(t), k) for t in texts], dtype=np.uint64).view(np.int64)]
 
-    rows = docs.select("doc_id", F.xxhash64(*[F.col(c) for c in sorted(docs.columns)]).alias("row_hash"), "text")
-    return rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_hash long, fp long")
+    hashed = F.xxhash64(*[F.col(c) for c in sorted(docs.columns)]).alias("row_hash")
+    return map_texts(docs.select("doc_id", hashed, "text"), ["doc_id", "row_hash"], "fp long", run)
 
 
 def masks(radius: int, bits: int = 64) -> list[int]:
