@@ -20,6 +20,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed_documents
+
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import cut
     from .sharding import keyed, shard_by_bytes
@@ -52,5 +58,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_source_mixing, op5_simhash_near_dedup, op8_histogram_sort_shards, op9_chat_formatting, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op4_source_mixing, op5_simhash_near_dedup, op6_best_fit_packing, op8_histogram_sort_shards, op9_chat_formatting, op10_license_scan)}
 ORACLES: dict[str, str] = {}
