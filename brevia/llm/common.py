@@ -33,7 +33,10 @@ def arrow_batch(schema: T.StructType, columns: Sequence) -> pa.RecordBatch:
 
 
 def map_texts(df: DataFrame, keep: Sequence[str], added: str, fn: Callable[[list], Sequence]) -> DataFrame:
-    """The columns kept, as they are, and the columns `added` (DDL) that fn makes of a list of texts. No shuffle."""
+    """The columns kept, as they are, and the columns `added` (DDL) that fn makes of a list of texts. No shuffle.
+
+    text may be kept, too. Names kept and added must differ.
+    """
     new = T.StructType.fromDDL(added)
     schema = T.StructType([*(df.schema[k] for k in keep), *new.fields])
 
@@ -42,7 +45,7 @@ def map_texts(df: DataFrame, keep: Sequence[str], added: str, fn: Callable[[list
             made = arrow_batch(new, fn(b.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *made.columns], names=schema.names)
 
-    return df.select(*keep, "text").mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_documents, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_documents(docs, train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")), ["doc_id"])
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed_words
 
@@ -58,5 +65,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_source_mixing, op5_simhash_near_dedup, op6_best_fit_packing, op8_histogram_sort_shards, op9_chat_formatting, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_source_mixing, op5_simhash_near_dedup, op6_best_fit_packing, op8_histogram_sort_shards, op9_chat_formatting, op10_license_scan)}
 ORACLES: dict[str, str] = {}
