@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_documents, train
 
@@ -33,6 +39,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_va_file_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import cut
     from .sharding import keyed, shard_by_bytes
@@ -65,5 +77,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_source_mixing, op5_simhash_near_dedup, op6_best_fit_packing, op8_histogram_sort_shards, op9_chat_formatting, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op3_toxicity, op4_source_mixing, op5_simhash_near_dedup, op6_best_fit_packing, op7_va_file_top_k, op8_histogram_sort_shards, op9_chat_formatting, op10_license_scan)}
 ORACLES: dict[str, str] = {}
