@@ -14,6 +14,12 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_documents, train
 
@@ -77,5 +83,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op3_toxicity, op4_source_mixing, op5_simhash_near_dedup, op6_best_fit_packing, op7_va_file_top_k, op8_histogram_sort_shards, op9_chat_formatting, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_scoring, op3_toxicity, op4_source_mixing, op5_simhash_near_dedup, op6_best_fit_packing, op7_va_file_top_k, op8_histogram_sort_shards, op9_chat_formatting, op10_license_scan)}
 ORACLES: dict[str, str] = {}
