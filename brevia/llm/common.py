@@ -48,19 +48,25 @@ def map_texts(df: DataFrame, keep: Sequence[str], added: str, fn: Callable[[list
     return df.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the shared folder the session names.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, named by spark.checkpoint.dir; also where checkpoints go.
 
-    Only a single-machine session may fall back to a temporary folder of its own.
+    Only a single-machine session without that setting falls back to a temporary folder of its own.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        path = spark.conf.get("spark.checkpoint.dir", None)
         if not path:
             if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             path = tempfile.mkdtemp(prefix="brevia-")
         sc.setCheckpointDir(path)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

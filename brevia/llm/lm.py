@@ -128,12 +128,12 @@ def _scatter(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> np.ndarr
 class Trainer:
     """Noise-contrastive steps with Adagrad on minibatches; the noise words of a batch are shared, so all is matrix products."""
 
-    def __init__(self, model: Model, noise: np.ndarray, samples: int = 64, rate: float = 0.05, seed: int = 0) -> None:
+    def __init__(self, model: Model, noise: np.ndarray, samples: int = 128, rate: float = 0.1, seed: int = 0) -> None:
         self.m, self.samples, self.rate = model, samples, rate
         p = noise / noise.sum()
         self.log_noise = np.log(samples * p).astype(np.float32)
         self.edges = np.cumsum(p)
-        self.squares = np.full(len(model.flat), 1e-3, dtype=np.float32)
+        self.squares = np.full(len(model.flat), 1e-8, dtype=np.float32)
         self.s = Model(self.squares, model.classes, model.width)
         self.rng = np.random.default_rng(seed)
 
@@ -185,7 +185,7 @@ def targets_of(lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) + np.repeat(begin - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
 
 
-def train(docs: DataFrame, v: Vocabulary, width: int = 24, rounds: int = 2, batch: int = 4096) -> Model:
+def train(docs: DataFrame, v: Vocabulary, width: int = 24, rounds: int = 2, batch: int = 2048) -> Model:
     """Averages of the tasks' parameters, round by round; a document belongs to one round, by the hash of its text."""
     noise = v.class_counts()
     model = Model.start(noise, width)

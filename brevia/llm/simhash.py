@@ -144,19 +144,17 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 3, k: int = 3) -> DataFr
 
     Whole rows are joined once to the ids kept; only fully repeated rows among those are compared again.
     """
-    rooted = cut(components_of(cut(fingerprints(docs, k)), radius))
-    key = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_hash")
-    best = rooted.groupBy("root").agg(F.min(key).alias("best"))
-    kept = best.select("best.doc_id", "best.row_hash").join(
-        rooted.groupBy("doc_id", "row_hash").agg(F.count("*").alias("times")).alias("r"),
-        F.col("best.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("best.row_hash") == F.col("r.row_hash")),
-    ).select(F.col("r.doc_id").alias("kept_id"), F.col("r.row_hash").alias("kept_hash"), "times")
-    kept = cut(kept)
+    rooted = components_of(cut(fingerprints(docs, k)), radius)
+    times = rooted.groupBy("root", "doc_id", "row_hash").agg(F.count("*").alias("times"))
+    key = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_hash", "times")
+    best = times.groupBy("root").agg(F.min(key).alias("best"))
+    kept = cut(best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.row_hash").alias("kept_hash"), "best.times"))
     hashed = docs.withColumn("kept_row_hash", F.xxhash64(*[F.col(c) for c in sorted(docs.columns)]))
     found = hashed.join(
-        kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("kept_row_hash") == F.col("kept_hash"))
+        kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & (F.col("kept_row_hash") == kept["kept_hash"])
     )
-    once = found.where("times = 1").select(docs.columns)
+    own = [docs[c] for c in docs.columns]  # by reference: the input may have columns of these names
+    once = found.where(kept["times"] == 1).select(own)
     if kept.where("times > 1").isEmpty():
         return once
-    return once.union(found.where("times > 1").select(docs.columns).dropDuplicates())
+    return once.union(found.where(kept["times"] > 1).select(own).dropDuplicates())
