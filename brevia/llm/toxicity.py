@@ -16,7 +16,6 @@ repeated rows are scored each; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,7 +45,7 @@ SWAP = {w.encode(): row[(i + 1) % len(row)].encode() for row in IDENTITIES for i
 
 BITS = 20
 _TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def words_of(text: str | None) -> set[bytes]:
@@ -56,11 +55,33 @@ def words_of(text: str | None) -> set[bytes]:
 
 def word_features(word: bytes) -> list[int]:
     """Hashed features of a word: itself and its runs of four and five characters, its ends marked."""
-    marked = "^" + word.decode("utf-8", "replace")[:64] + "$"
+    marked = "^" + word.decode("utf-8", "replace") + "$"
     runs = {marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1)} | {"=" + marked}
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in runs]
 
 
+class Memory(dict):
+    """What a function gives for each word, kept for the first REMEMBERED words."""
+
+    def __init__(self, fn) -> None:
+        super().__init__()
+        self.fn = fn
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        out = self.fn(word)
+        if len(self) < REMEMBERED:
+            self[word] = out
+        return out
+
+    def features(self, words: set[bytes]) -> np.ndarray:
+        """The distinct features of all words, in order."""
+        found: set[int] = set()
+        for own in map(self.__getitem__, words):
+            if own:
+                found.update(own)
+        return np.sort(np.fromiter(found, dtype=np.int64, count=len(found)))
+
+
 def counterfactual(words: set[bytes]) -> set[bytes] | None:
     """The words with identity terms swapped; None if there are none."""
     return {SWAP.get(w, w) for w in words} if not words.isdisjoint(SWAP) else None
@@ -83,31 +104,25 @@ def _training_rows(docs: DataFrame, labels: DataFrame, folds: int, most_rows: in
     return parts[0].union(parts[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 20_000, most_features: int = 20_000, penalty: float = 1.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 10_000, most_features: int = 8192, penalty: float = 1.0) -> Model:
     """Fits the classifier. To the driver come most_features sums and, for each training row, which of them it has."""
     ids = _training_rows(docs, labels, folds, most_rows)
     # at most 2 * most_rows ids of 12 bytes
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(F.broadcast(ids), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        memory = Memory(lambda w: tuple(word_features(w)))
+        seen = np.zeros((2, 1 << BITS), dtype=np.int64)
         rows = [0, 0]
         for b in batches:
             for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 rows[y] += 1
-                seen.update((f, y) for f in {f for w in words_of(text) for f in word_features(w)})
-            if len(seen) > 1_000_000:
-                yield table_of(seen, [0, 0])
-                seen.clear()
-        yield table_of(seen, rows)
-
-    def table_of(seen: Counter, rows: list[int]) -> pa.RecordBatch:
-        keys = [*(k for k in seen), (-1, 0), (-1, 1)]
-        counts = [*seen.values(), *rows]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int64()), pa.array([c if k[1] else 0 for k, c in zip(keys, counts, strict=True)], pa.int64()), pa.array([0 if k[1] else c for k, c in zip(keys, counts, strict=True)], pa.int64())],
-            names=["feature", "toxic", "clean"],
-        )
+                seen[y][memory.features(words_of(text))] += 1
+        found = np.flatnonzero(seen.any(axis=0))
+        for low in range(0, len(found), 100_000):
+            f = found[low : low + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(seen[1][f]), pa.array(seen[0][f])], names=["feature", "toxic", "clean"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([rows[1]]), pa.array([rows[0]])], names=["feature", "toxic", "clean"])
 
     counts = texts.select("text", "toxic").mapInArrow(count, "feature long, toxic long, clean long")
     counts = counts.groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
@@ -124,23 +139,22 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 2
     place = {int(f): i for i, f in enumerate(chosen)}
 
     def rows(texts: list) -> list:
-        out = []
-        for text in texts:
-            own = words_of(text)
-            swapped = counterfactual(own)
-            out.append([sorted({place[f] for w in x for f in word_features(w) if f in place}) if x is not None else None for x in (own, swapped)])
-        return [[x[0] for x in out], [x[1] for x in out]]
-
-    data = map_texts(texts, ["doc_id", "toxic"], "own array<int>, swapped array<int>", rows).drop("text").orderBy("doc_id").collect()
-    weights, bias = fit([r["own"] for r in data], [r["swapped"] for r in data], np.array([r["toxic"] for r in data], dtype=float), len(chosen), penalty)
+        memory = Memory(lambda w: tuple(place[f] for f in word_features(w) if f in place))
+        pack = lambda words: None if words is None else memory.features(words).astype("<i4").tobytes()
+        own = [words_of(text) for text in texts]
+        return [pa.array([pack(w) for w in own], pa.binary()), pa.array([pack(counterfactual(w)) for w in own], pa.binary())]
+
+    data = map_texts(texts, ["doc_id", "toxic"], "own binary, swapped binary", rows).orderBy("doc_id").collect()
+    unpack = lambda x: None if x is None else np.frombuffer(x, dtype="<i4")
+    weights, bias = fit([unpack(r["own"]) for r in data], [unpack(r["swapped"]) for r in data], np.array([r["toxic"] for r in data], dtype=float), len(chosen), penalty)
     return Model(chosen, weights, bias)
 
 
-def fit(own: list[list[int]], swapped: list[list[int] | None], y: np.ndarray, k: int, penalty: float, steps: int = 250, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(own: list[np.ndarray], swapped: list[np.ndarray | None], y: np.ndarray, k: int, penalty: float, steps: int = 250, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the mean logistic loss, a ridge, and penalty times the mean squared change in score under swaps."""
 
     def sparse(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([i for r in rows for i in r], dtype=np.int64)
+        return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows).astype(np.int64) if rows else np.array([], dtype=np.int64)
 
     pairs = [i for i, s in enumerate(swapped) if s is not None]
     row, col = sparse(own)
@@ -168,23 +182,11 @@ def scorer(model: Model):
     """A function from a list of texts to their scores, with a memory of words of its own in each task."""
     place = {int(f): i for i, f in enumerate(model.features)}
     weights, bias = model.weights, model.bias
-    memory: dict[bytes, tuple[int, ...]] = {}
+    memory = Memory(lambda w: tuple(place[f] for f in word_features(w) if f in place))
 
     def score(texts: list) -> list[float]:
-        out = []
-        for text in texts:
-            found: set[int] = set()
-            for w in words_of(text):
-                own = memory.get(w)
-                if own is None:
-                    own = tuple(place[f] for f in word_features(w) if f in place)
-                    if len(memory) < REMEMBERED:
-                        memory[w] = own
-                if own:
-                    found.update(own)
-            z = bias + float(weights[sorted(found)].sum()) if found else bias
-            out.append(float(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
-        return out
+        z = np.array([bias + weights[memory.features(words_of(text))].sum() for text in texts])
+        return [float(x) for x in 1 / (1 + np.exp(-np.clip(z, -500, 500)))]
 
     return score
 
