@@ -184,7 +184,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
             "si", "start", end.alias("end"),
             F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("block"),
         )
-        slots = slot_frame(spark, plan)
+        # its size looks tiny to the planner, which knows only the range it is made from: it must not be broadcast
+        slots = slot_frame(spark, plan).hint("merge")
         low, high = F.greatest(F.col("start"), F.col("block") * block), F.least(F.col("end"), F.col("block") * block + F.col("take"))
         return (
             pieces.join(slots, ["si", "block"]).withColumn("words", high - low).where("words > 0")
