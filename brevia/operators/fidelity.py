@@ -33,8 +33,8 @@ def fidelity(df: DataFrame, key: str, original: str, compacted: str, out: str =
     Both texts' tokens go into one aggregation by (key, token), so each row's share needs a single shuffle of token counts and
     one join back by key; key must be unique.
     """
-    side = lambda c, o: df.select(F.col(key).alias("_key"), F.explode(telling_tokens(F.col(c))).alias("t"), F.lit(o).alias("o"))
-    both = side(original, 1).union(side(compacted, 0))
+    side = lambda c, o: F.transform(telling_tokens(F.col(c)), lambda t: F.struct(t.alias("t"), F.lit(o).alias("o")))
+    both = df.select(F.col(key).alias("_key"), F.explode(F.concat(side(original, 1), side(compacted, 0))).alias("x")).select("_key", "x.t", "x.o")
     per = both.groupBy("_key", "t").agg(F.sum("o").alias("a"), F.sum(1 - F.col("o")).alias("b"))
     share = per.groupBy("_key").agg((F.sum(F.least("a", "b")) / F.nullif(F.sum("a"), F.lit(0))).alias("_share"))
     none = F.when(is_blank(text_of(F.col(compacted))), 0.0).otherwise(1.0)

@@ -19,6 +19,7 @@ from ..operators.logs import compact_logs
 from ..operators.prose import compact_prose
 from ..operators.records import compact_json
 from ..options import Options
+from ..sources.scratch import staged
 
 
 class Compactor(Protocol):
@@ -66,8 +67,9 @@ RESULT = (
 def compact(df: DataFrame, key: str = "id", text: str = "text", options: Options | None = None, forced_kind: str | None = None, kinds: Callable | None = None) -> DataFrame:
     """One row per payload: key, text (compacted and annotated), original and the columns of RESULT. key must be unique.
 
-    Rows part by kind, each branch has its own plan, and all come together again; small payloads take the short branch and are
-    never shown to a worker. forced_kind names a column that overrides the routing where it isn't null.
+    Routed rows are staged once by kind, so that each kind's plan reads only its own, and compacted ones once more, for
+    measuring; small payloads take the short branch and are never shown to a worker. forced_kind names a column that
+    overrides the routing where it isn't null.
     """
     o = options or Options()
     base = df.select(F.col(key).alias("id"), text_of(F.col(text)).alias("original"), (F.col(forced_kind) if forced_kind else F.lit(None).cast("string")).alias("forced"))
@@ -84,15 +86,16 @@ def compact(df: DataFrame, key: str = "id", text: str = "text", options: Options
     rows = rows.withColumn("kind", F.coalesce("forced", detect(F.col("working"))))
     if o.dedup:
         rows = rows.withColumn("working", F.when(F.col("kind") == "json", F.col("working")).otherwise(dedup_blocks(F.when(F.col("kind") != "json", F.col("working")))))
+    rows = staged(rows.select("id", "original", "original_tokens", "working", "secrets", "kind"), by="kind")
     parts = None
-    known = {}
+    known: dict = {}
     for k, c in _REGISTRY.items():
         known.setdefault(id(c), (c, []))[1].append(k)
     for c, names in known.values():
         mine = rows.where(F.col("kind").isin(*names) if c is not _PROSE else F.col("kind").isin(*names) | ~F.col("kind").isin(*_REGISTRY))
         part = c(mine, "id", "working", o, "compacted").select("id", "original", "original_tokens", "compacted", "kind", "secrets")
         parts = part if parts is None else parts.unionByName(part)
-    measured = fidelity(parts, "id", "original", "compacted").unionByName(small)
+    measured = fidelity(staged(parts), "id", "original", "compacted").unionByName(small)
     plain = F.col("kind") == "passthrough"
     reverted = ~plain & gate(F.col("kind"), F.col("original"), F.col("compacted"), F.col("fidelity"), o.quality_threshold)
     masked = F.col("original")

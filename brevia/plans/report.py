@@ -28,12 +28,15 @@ def savings_by_kind(results: DataFrame) -> DataFrame:
 
 
 def perf_report(results: DataFrame, price: float = 2.50, calls_per_day: int = 10_000) -> DataFrame:
-    """Per kind and in total (kind TOTAL): tokens before and after, percent and USD saved, and the projection by day and month."""
+    """Per kind and in total (kind TOTAL): tokens before and after, percent and USD saved, and the projection by day and month.
+
+    Figures keep nine decimals; rounding for show is left to whoever shows them.
+    """
     rows = results.where("kind <> 'passthrough'").rollup("kind").agg(
         F.sum("original_tokens").alias("before"), F.sum("compressed_tokens").alias("after"), F.avg(F.when(F.col("kind").isin("text", "table"), F.col("fidelity"))).alias("fid"), F.grouping("kind").alias("g")
     )
     usd = (F.col("before") - F.col("after")) / 1e6 * F.lit(float(price))
-    return rows.select(
-        F.when(F.col("g") == 1, "TOTAL").otherwise(F.col("kind")).alias("kind"), "before", "after", F.bround((1.0 - F.col("after") / F.col("before")) * 100, 1).alias("saved_pct"),
-        F.bround("fid", 2).alias("quality"), F.bround(usd, 5).alias("usd_saved"), F.bround(usd * calls_per_day, 2).alias("usd_day"), F.bround(usd * calls_per_day * 30, 2).alias("usd_month"),
-    )
+    total = F.when(F.col("g") == 1, "TOTAL").otherwise(F.col("kind")).alias("kind")
+    pct = (1.0 - F.col("after") / F.col("before")) * 100
+    figures = {"saved_pct": pct, "quality": F.col("fid"), "usd_saved": usd, "usd_day": usd * calls_per_day, "usd_month": usd * calls_per_day * 30}
+    return rows.select(total, "before", "after", *(F.round(c, 9).alias(n) for n, c in figures.items()))

@@ -648,8 +648,8 @@ def savings_by_kind(spark, sf_dir):
     return report.savings_by_kind(_results(spark, sf_dir))
 
 
-@query(f"""SELECT CASE WHEN grouping(kind) = 1 THEN 'TOTAL' ELSE kind END AS kind, CAST(sum(a) AS BIGINT) AS before, CAST(sum(b) AS BIGINT) AS after, round_even((1 - sum(b)::DOUBLE / sum(a)) * 100, 1) AS saved_pct,
-  NULL::DOUBLE AS quality, round_even((sum(a) - sum(b)) / 1e6::DOUBLE * 2.5::DOUBLE, 5) AS usd_saved, round_even((sum(a) - sum(b)) / 1e6::DOUBLE * 2.5::DOUBLE * 10000, 2) AS usd_day, round_even((sum(a) - sum(b)) / 1e6::DOUBLE * 2.5::DOUBLE * 10000 * 30, 2) AS usd_month
+@query(f"""SELECT CASE WHEN grouping(kind) = 1 THEN 'TOTAL' ELSE kind END AS kind, CAST(sum(a) AS BIGINT) AS before, CAST(sum(b) AS BIGINT) AS after, round((1 - sum(b)::DOUBLE / sum(a)) * 100, 9) AS saved_pct,
+  NULL::DOUBLE AS quality, round((sum(a) - sum(b)) / 1e6::DOUBLE * 2.5::DOUBLE, 9) AS usd_saved, round((sum(a) - sum(b)) / 1e6::DOUBLE * 2.5::DOUBLE * 10000, 9) AS usd_day, round((sum(a) - sum(b)) / 1e6::DOUBLE * 2.5::DOUBLE * 10000 * 30, 9) AS usd_month
   FROM ({RESULTS_SQL}) GROUP BY ROLLUP (kind)""")
 def perf_rollup(spark, sf_dir):
     return report.perf_report(_results(spark, sf_dir))
@@ -665,13 +665,13 @@ def response_cache_keys(spark, sf_dir):
     return rows.select("conv_id", services.request_key({"messages": F.col("messages"), "model": F.lit("standard"), "temperature": F.lit("0")}).alias("key"))
 
 
-@query("""SELECT u.user_id AS key, CAST(b AS BIGINT) AS cached, b IS NOT NULL AS hit FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN
+@query("""SELECT u.user_id AS key, CAST(coalesce(b, -1) AS BIGINT) AS cached, b IS NOT NULL AS hit FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN
   (SELECT user_id, arg_max(event_id, ts) AS b FROM events WHERE epoch((SELECT max(ts) FROM events)) // 1 - epoch(ts) // 1 <= 86400 GROUP BY user_id) e ON u.user_id = e.user_id""")
 def response_cache_hits(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     now = F.lit(e.agg(F.max("ts")).first()[0])
     cache = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("body"), F.col("ts").alias("created_at"))
-    return services.cache_lookup(e.select(F.col("user_id").alias("key")).distinct(), cache, now, 86_400)
+    return services.cache_lookup(e.select(F.col("user_id").alias("key")).distinct(), cache, now, 86_400).withColumn("cached", F.coalesce("cached", F.lit(-1)))
 
 
 @query("SELECT event_id AS key FROM events ORDER BY ts DESC, event_id LIMIT 1024")
