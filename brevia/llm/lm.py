@@ -83,10 +83,22 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, classes: int, frequent: int) -> Vocabulary:
-    """To the driver: three sums and `frequent` words."""
-    n = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(frequent).toPandas()
-    return Vocabulary([w.encode() for w in top["word"]], top["c"].to_numpy(np.int64), classes, int(n["n"] or 0), n["v"], n["once"])
+    """To the driver: sums by bucket of counts (a sixteenth of a doubling each, some hundreds), and at most `frequent` words.
+
+    The words are all those above a count, the lowest edge of a bucket above which no more than `frequent` words stand. They are
+    filtered before they are collected, so tasks send no more than that between them.
+    """
+    bucket = F.floor(F.log2("c") * 16)
+    rows = counts.groupBy(bucket.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.min("c").alias("least"), F.count_if(F.col("c") == 1).alias("once")).collect()
+    held, least = 0, None
+    for r in sorted(rows, key=lambda r: -r["k"]):
+        if held + r["v"] > frequent:
+            break
+        held, least = held + r["v"], r["least"]
+    top = counts.where(F.col("c") >= least).collect() if held else []
+    top.sort(key=lambda r: (-r["c"], r["word"]))
+    sums = [sum(r[x] for r in rows) for x in ("n", "v", "once")]
+    return Vocabulary([r["word"].encode() for r in top], np.array([r["c"] for r in top], dtype=np.int64), classes, *sums)
 
 
 class Model:
@@ -298,7 +310,7 @@ def score_parts(docs: DataFrame, v: Vocabulary, model: Model) -> DataFrame:
                     for word, times in others.items():
                         rows.append((hs[k], None, None, None, None, None, word.decode(), times))
                         source.append(k)
-                    if lengths[k] and own[begin[k] + lengths[k] - 1] < 0:  # no text to learn from ever ended
+                    if lengths[k] and own[begin[k] + lengths[k] - 1] < 0:  # the end of a text isn't a frequent token
                         rows.append((hs[k], None, None, None, None, None, "", 1))
                         source.append(k)
                 columns = arrow_batch(made, list(zip(*rows, strict=True)))
