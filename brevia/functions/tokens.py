@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import BLANK, WORD, text_of
 
@@ -40,3 +45,42 @@ def with_price(prices: dict[str, float], model: str, usd: float) -> dict[str, fl
 
 def cost(tokens: Column, price: Column) -> Column:
     return tokens / F.lit(1_000_000.0) * price
+
+
+_encodings: dict[str, object] = {}
+
+#: A fixed value: how byte-level vocabularies split a text before merging.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _encoding(path: str):
+    """One per worker process; needs the optional tiktoken."""
+    if path not in _encodings:
+        import tiktoken
+
+        with open(path, "rb") as rows:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rows)}
+        _encodings[path] = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[path]
+
+
+def bpe_token_count(c: Column, path: str) -> Column:
+    """Exact counts by a vocabulary file of ranks that every executor has at the path; null where it can't be used."""
+
+    @F.pandas_udf(T.LongType())
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            encode = _encoding(path).encode_ordinary
+        except (ImportError, OSError, ValueError):
+            encode = None
+        for texts in batches:
+            yield texts.map(lambda t: None if encode is None else len(encode(t))).astype("Int64")
+
+    return count(text_of(c))
+
+
+def count_tokens(c: Column, backend: str = "heuristic", path: str | None = None) -> Column:
+    """Tokens by the backend asked for; the estimate stands in where a vocabulary is missing."""
+    if backend == "heuristic" or not path:
+        return token_count(c)
+    return F.coalesce(bpe_token_count(c, path), token_count(c))

@@ -29,21 +29,20 @@ def scores(chunks: DataFrame, queries: DataFrame, chunk_id: str = "chunk_idx", t
     A query changes the inverse document frequency of its own terms alone, so a chunk's norm is that without the query,
     corrected on the terms shared; pairs arise from a join on terms, never from all chunks by all queries.
     """
-    n = chunks.agg(F.count("*").alias("n"))
+    n = chunks.count()
     w = term_weights(chunks, chunk_id, text)
     asked = term_weights(queries, query_id, query).select(query_id, "term", F.col("tf").alias("qtf"))
-    idf = lambda df: F.log((F.col("n") + 2) / (df + 1)) + 1.0  # noqa: E731  the query makes one more document
-    w = w.join(F.broadcast(n)).withColumn("w0", F.col("tf") * idf(F.col("df"))).withColumn("w1", F.col("tf") * idf(F.col("df") + 1))
+    idf = lambda df: F.log(F.lit(n + 2.0) / (df + 1)) + 1.0  # noqa: E731  the query makes one more document
+    w = w.withColumn("w0", F.col("tf") * idf(F.col("df"))).withColumn("w1", F.col("tf") * idf(F.col("df") + 1))
     norms = w.groupBy(chunk_id).agg(F.sum(F.col("w0") * F.col("w0")).alias("norm0"))
-    known = w.select("term", "df", "n").distinct()
-    q = asked.join(F.broadcast(n)).drop("n").join(known.select("term", "df"), "term", "left").join(F.broadcast(n))
+    q = asked.join(w.select("term", "df").distinct(), "term", "left")
     q = q.withColumn("qw", F.col("qtf") * idf(F.coalesce("df", F.lit(0)) + 1))
     qnorm = q.groupBy(query_id).agg(F.sum(F.col("qw") * F.col("qw")).alias("qnorm"))
     hits = q.select(query_id, "term", "qw").join(w.select(chunk_id, "term", "w0", "w1"), "term")
     pairs = hits.groupBy(query_id, chunk_id).agg(
         F.sum(F.col("qw") * F.col("w1")).alias("dot"), F.sum(F.col("w1") * F.col("w1") - F.col("w0") * F.col("w0")).alias("more")
     )
-    pairs = pairs.join(norms, chunk_id).join(F.broadcast(qnorm), query_id)
+    pairs = pairs.join(norms, chunk_id).join(qnorm, query_id)
     return pairs.select(query_id, chunk_id, F.round(F.col("dot") / (F.sqrt(F.col("norm0") + F.col("more")) * F.sqrt("qnorm")), 9).alias("score"))
 
 
@@ -66,8 +65,8 @@ def compact_passages(
         raise ValueError("max_chunks must be 1 or more")
     k = max_chunks or max(1, int(chunks.count() * keep))
     kept = rank(chunks, queries, k, chunk_id=chunk_id, query_id=query_id, text=text, query=query).select(query_id, chunk_id)
-    first = chunks.agg(F.min(chunk_id).alias(chunk_id))
-    none = queries.select(query_id).join(kept.select(query_id).distinct(), query_id, "left_anti").join(F.broadcast(first))
+    first = F.lit(chunks.agg(F.min(chunk_id)).first()[0]).cast(chunks.schema[chunk_id].dataType)
+    none = queries.select(query_id).join(kept.select(query_id).distinct(), query_id, "left_anti").withColumn(chunk_id, first)
     kept = kept.unionByName(none.select(query_id, chunk_id))
     # a passage that several queries keep is compacted once
     used = chunks.join(kept.select(chunk_id).distinct(), chunk_id, "left_semi")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text_of
-from ..operators.dedup import near_duplicate
+from ..operators.dedup import LENGTH_SHARE, near_duplicate
 from ..options import Options
 from .pipeline import compact, reference_of
 
@@ -42,15 +44,19 @@ def positions(turns: DataFrame, keep_last: int = 4) -> DataFrame:
 def repeats(rows: DataFrame) -> DataFrame:
     """(conv_id, pos, dup): the earliest eligible message before a long one that it nearly repeats.
 
-    Equal texts need no comparison: of those only the earliest is compared with others.
+    Equal texts need no comparison: of those only the earliest is compared with others, and only with texts of like length:
+    candidates meet on the conversation and a bucket of the length's logarithm, or the next one.
     """
     open_ = rows.where("not protected").select("conv_id", "pos", text_of(F.col("text")).alias("text"))
     firsts = open_.groupBy("conv_id", "text").agg(F.min("pos").alias("pos"))
-    late = firsts.where(F.length("text") > REPEAT_LENGTH).alias("a")
+    bucket = F.floor(F.log(F.length("text")) / F.lit(math.log(1 / LENGTH_SHARE)))
+    firsts = firsts.withColumn("bucket", bucket)
+    late = firsts.where(F.length("text") > REPEAT_LENGTH).withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
     # an equal text's later occurrences find what its first one finds, or the first one itself
-    pairs = late.join(firsts.alias("b"), F.col("a.conv_id") == F.col("b.conv_id")).where(F.col("a.pos") != F.col("b.pos"))
+    same_place = (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.bucket") == F.col("b.bucket"))
+    pairs = late.alias("a").join(firsts.alias("b"), same_place).where(F.col("a.pos") != F.col("b.pos"))
     a, b = F.col("a.text"), F.col("b.text")
-    pairs = pairs.where(F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b)) >= 0.6)
+    pairs = pairs.where(F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b)) >= LENGTH_SHARE)
     like = pairs.where(near_duplicate(a, b)).select(F.col("a.conv_id").alias("conv_id"), a.alias("text"), F.col("b.pos").alias("like_pos"))
     same = firsts.where(F.length("text") > REPEAT_LENGTH).select("conv_id", "text", F.col("pos").alias("like_pos"))
     candidates = like.union(same)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from brevia.functions.redact import redact
 from brevia.functions.route import detect
 from brevia.functions.text import jaccard, lines, shingles, words
-from brevia.functions.tokens import price_per_mtok, token_count, with_price
+from brevia.functions.tokens import count_tokens, price_per_mtok, token_count, with_price
 from brevia.operators import code, dedup, logs, prose, records
 from brevia.operators.fidelity import TELLING, fidelity
 from brevia.options import Options
@@ -214,6 +214,15 @@ def test_streams(spark, tmp_path):
     assert spark.table("d").count() == 1
 
 
+def test_exact_token_counts(spark):
+    import public_tokenizers
+    import tiktoken  # noqa: F401
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    assert one(spark, lambda c: count_tokens(c, "bpe", path), "hello world", "", None) == [2, 0, 0]
+    assert one(spark, lambda c: count_tokens(c, "bpe", "/no/such/file"), "abcdefgh") == [2]
+
+
 def test_options():
     o = Options.from_env({"BREVIA_LEVEL": "light", "BREVIA_MIN_TOKENS": "x", "BREVIA_DEDUP": "off", "BREVIA_STORE_TTL": "5"})
     assert (o.keep_ratio, o.min_tokens, o.dedup, o.store_ttl) == (0.70, 300, False, 5)
