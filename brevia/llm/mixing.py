@@ -210,8 +210,10 @@ def mixed_words(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed table: each document once for every round in which the mix takes at least half of its words."""
+    # other columns get names of their own meanwhile, so that none is taken for one made here
+    names = {c: c if c in ("source", "text") else f"c{i}" for i, c in enumerate(docs.columns)}
+    docs = docs.select(*(F.col(c).alias(n) for c, n in names.items()))
     place, uses, sized = mix(docs, **options)
-    columns = docs.columns
     slim = cut(place(sized.select("source", "bucket", "order", "size", F.col("order").alias("row"))))
     rounds = uses(slim).groupBy("si", "start", "round").agg(F.sum("words").alias("words"))
     chosen = (
@@ -228,4 +230,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     many = many.withColumn("nth", F.row_number().over(Window.partitionBy("order").orderBy("size")))
     many = many.withColumn("copies", F.floor(F.col("n") / F.col("rows")) + F.when(F.col("nth") <= F.col("n") % F.col("rows"), 1).otherwise(0)).drop("nth")
     out = single.unionByName(many.withColumn("copies", F.col("copies").cast("long")))
-    return out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(columns)
+    return out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col(n).alias(c) for c, n in names.items()))

@@ -99,18 +99,18 @@ def shard_by_bytes(
             for a, b in cuts
         ]
         shard = sum(above[1:], above[0]) if above else F.lit(0)
-        return df.withColumns({"shard": shard.cast("int"), "fine": F.pmod(F.xxhash64("k2"), F.lit(fine)).cast("int")})
+        return df.withColumns({"shard": shard.cast("int"), "_fine": F.pmod(F.xxhash64("k2"), F.lit(fine)).cast("int")})
 
-    counts = placed(keys).groupBy("shard", "fine").agg(F.count("*").alias("rows"))
-    before = Window.partitionBy("shard").orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "fine", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "fine").orderBy("k1", "k2"))
+    counts = placed(keys).groupBy("shard", "_fine").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy("shard").orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", "_fine", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("shard", "_fine").orderBy("k1", "k2"))
     return (
         placed(docs)
-        .withColumn("rank", rank)
-        .join(F.broadcast(offsets), ["shard", "fine"])
-        .withColumn("slot", (F.col("before") + F.col("rank") - 1).cast("long"))
-        .drop("fine", "rank", "before", "k1", "k2")
+        .withColumn("_rank", rank)
+        .join(F.broadcast(offsets), ["shard", "_fine"])
+        .withColumn("slot", (F.col("_before") + F.col("_rank") - 1).cast("long"))
+        .drop("_fine", "_rank", "_before", "k1", "k2")
     )
 
 

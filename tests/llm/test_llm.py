@@ -130,7 +130,7 @@ def test_shards(spark):
     df, rows = documents(spark, 300)
     hot = spark.createDataFrame([(5000 + i, "the same text again", "en", "a", 1) for i in range(400)], SCHEMA)
     df = df.where("doc_id <> 1003 or doc_id is null").union(hot)
-    keyed = cut(sharding.keyed(df))
+    keyed = cut(sharding.keyed(df.withColumns({"rank": F.lit(1), "before": F.lit(2), "fine": F.lit(3), "shard": F.lit(4)})))
     out = sharding.shard_by_bytes(keyed, keyed.select("k1", "k2", "size"), fine_rows=10).collect()
     by = collections.defaultdict(list)
     for r in out:
@@ -198,10 +198,11 @@ def test_mix(spark):
 def test_mixed_documents_follow_the_mix(spark):
     df, _ = documents(spark, 300, odd=False)
     df = df.union(df.limit(3))
-    mixed = mixing.mixed_documents(df, block=16)
+    mixed = mixing.mixed_documents(df.withColumns({"size": F.lit(-5), "copies": F.lit(9)}), block=16)
+    assert mixed.columns == [*df.columns, "size", "copies"] and {(r["size"], r["copies"]) for r in mixed.select("size", "copies").collect()} == {(-5, 9)}
     want = {r["doc_id"]: r["taken"] / r["size"] for r in mixing.mixed_words(df.dropDuplicates(), block=16).collect() if r["size"]}
     got = collections.Counter(r["doc_id"] for r in mixed.collect())
-    assert mixed.columns == df.columns and max(got.values()) <= 4
+    assert max(got.values()) <= 4
     assert sum(abs(got[i] - w) > 1.01 for i, w in want.items()) <= 6  # repeated rows and cut documents
 
 
