@@ -98,8 +98,11 @@ def compact(df: DataFrame, key: str = "id", text: str = "text", options: Options
     measured = fidelity(staged(parts), "id", "original", "compacted").unionByName(small)
     plain = F.col("kind") == "passthrough"
     reverted = ~plain & gate(F.col("kind"), F.col("original"), F.col("compacted"), F.col("fidelity"), o.quality_threshold)
-    masked = F.col("original")
-    measured = measured.withColumn("reverted", reverted).withColumn("shown", F.when(F.col("reverted"), masked).otherwise(F.col("compacted")))
+    if o.redact_outputs:  # else texts that go out whole go out as they came
+        measured = redact(measured, "original", "whole", "whole_secrets").drop("whole_secrets")
+    else:
+        measured = measured.withColumn("whole", F.col("original"))
+    measured = measured.withColumn("reverted", reverted).withColumn("shown", F.when(F.col("reverted") | plain, F.col("whole")).otherwise(F.col("compacted")))
     measured = measured.withColumn("first_tokens", token_count(F.col("shown")))
     gain = F.greatest(F.lit(0), F.col("original_tokens") - F.col("first_tokens"))
     keep = F.lit(o.reversible) & (gain > 0) & ~F.col("reverted") & ~plain & (F.col("shown") != F.col("original"))

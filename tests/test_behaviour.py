@@ -166,6 +166,9 @@ def test_gate_and_passthrough(spark):
     assert back["reverted"] and back["text"] == facts and back["saved_tokens"] == 0
     assert compact(df, options=Options(min_tokens=10_000)).first()["kind"] == "passthrough"
     assert compact(df, options=Options(enabled=False)).first()["text"] == facts
+    secret = spark.createDataFrame([(1, "password = hunter22")], "id long, text string")
+    assert compact(secret).first()["text"] == "password = hunter22"
+    assert compact(secret, options=Options(redact_outputs=True)).first()["text"] == "password=<redacted:assignment_secret>"
     assert compact(df.withColumn("k", F.lit("log")), options=Options(min_tokens=0), forced_kind="k").first()["kind"] == "log"
 
 
