@@ -100,7 +100,13 @@ def _training_rows(docs: DataFrame, labels: DataFrame, folds: int, most_rows: in
     """(doc_id, toxic) of the rows to learn from."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(crc32_mod("doc_id", folds) != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    parts = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows) for y in (0, 1)]
+    n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    parts = []
+    for y in (0, 1):
+        # a share by hash first, so that hardly more than the bound is sorted
+        share = min(1.0, 1.2 * most_rows / max(1, n.get(y, 0)) + 0.001)
+        mine = known.where((F.col("toxic") == y) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
+        parts.append(mine.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)), "doc_id").limit(most_rows))
     return parts[0].union(parts[1])
 
 
@@ -151,33 +157,42 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 1
 
 
 def fit(own: list[np.ndarray], swapped: list[np.ndarray | None], y: np.ndarray, k: int, penalty: float, steps: int = 250, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the mean logistic loss, a ridge, and penalty times the mean squared change in score under swaps."""
+    """Full-batch Adam on the mean logistic loss, a ridge, and penalty times the mean squared change in score under swaps.
 
-    def sparse(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows).astype(np.int64) if rows else np.array([], dtype=np.int64)
-
-    pairs = [i for i, s in enumerate(swapped) if s is not None]
-    row, col = sparse(own)
-    crow, ccol = sparse([swapped[i] for i in pairs])
+    Rows are worked on in blocks, so beside the features themselves little memory is used.
+    """
     n = len(own)
+    block = 1000
+    own_blocks = [_sparse(own[i : i + block]) for i in range(0, n, block)]
+    pairs = np.array([i for i, s in enumerate(swapped) if s is not None], dtype=np.int64)
+    pair_blocks = [(pairs[i : i + block], _sparse([own[j] for j in pairs[i : i + block]]), _sparse([swapped[j] for j in pairs[i : i + block]])) for i in range(0, len(pairs), block)]
     w, b = np.zeros(k), float(np.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6)))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, steps + 1):
-        z = np.bincount(row, weights=w[col], minlength=n) + b
-        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / n
-        grad = np.bincount(col, weights=error[row], minlength=k) + ridge * w
-        if pairs:
-            change = (z[pairs] - b - np.bincount(crow, weights=w[ccol], minlength=len(pairs))) * 2 * penalty / len(pairs)
-            wide = np.zeros(n)
-            wide[pairs] = change
-            grad += np.bincount(col, weights=wide[row], minlength=k) - np.bincount(ccol, weights=change[crow], minlength=k)
-        g = np.append(grad, error.sum())
+        grad, total = ridge * w, 0.0
+        for i, (row, col) in enumerate(own_blocks):
+            part = y[i * block : (i + 1) * block]
+            z = np.bincount(row, weights=w[col], minlength=len(part)) + b
+            error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - part) / n
+            grad += np.bincount(col, weights=error[row], minlength=k)
+            total += error.sum()
+        for ids, (row, col), (row2, col2) in pair_blocks:
+            change = np.bincount(row, weights=w[col], minlength=len(ids)) - np.bincount(row2, weights=w[col2], minlength=len(ids))
+            change *= 2 * penalty / len(pairs)
+            grad += np.bincount(col, weights=change[row], minlength=k) - np.bincount(col2, weights=change[row2], minlength=k)
+        g = np.append(grad, total)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     return w, float(b)
 
 
+def _sparse(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and features of a block of rows."""
+    lengths = [len(r) for r in rows]
+    return np.repeat(np.arange(len(rows), dtype=np.int32), lengths), np.concatenate(rows).astype(np.int32) if rows else np.array([], dtype=np.int32)
+
+
 def scorer(model: Model):
     """A function from a list of texts to their scores, with a memory of words of its own in each task."""
     place = {int(f): i for i, f in enumerate(model.features)}
