@@ -144,7 +144,11 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 3, k: int = 3) -> DataFr
 
     Whole rows are joined once to the ids kept; only fully repeated rows among those are compared again.
     """
-    rooted = components_of(cut(fingerprints(docs, k)), radius)
+    return keep_one(docs, components_of(cut(fingerprints(docs, k)), radius))
+
+
+def keep_one(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """docs with one document of each root in rooted (doc_id, row_hash, root, ...), as in drop_near_duplicates()."""
     times = rooted.groupBy("root", "doc_id", "row_hash").agg(F.count("*").alias("times"))
     key = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_hash", "times")
     best = times.groupBy("root").agg(F.min(key).alias("best"))

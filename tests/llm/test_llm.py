@@ -450,3 +450,39 @@ def test_pipeline(spark, sf_dir):
     for x in rows:
         bins[x["sequence_id"]] += x["length"]
     assert max(bins.values()) <= 2048
+
+
+def test_near_texts_of_the_pipeline_brute(spark):
+    import corpus_pipeline
+
+    r = random.Random(11)
+    words = ["".join(r.choices("abcdefghijkl", k=6)) for _ in range(500)]
+    rows = []
+    for g in range(30):
+        text = r.choices(words, k=r.randint(40, 150))
+        rows.append((len(rows), " ".join(text)))
+        for _ in range(3):  # drifting copies, about 0.7 to 1 alike
+            text = list(text)
+            for _ in range(r.randint(0, 3)):
+                text[r.randrange(len(text))] = r.choice(words)
+            rows.append((len(rows), " ".join(text)))
+    rows += [(900, None), (901, ""), (902, "one two"), (903, "One  two"), (904, "one three"), (None, rows[5][1]), rows[7], rows[7]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def shingles(t):
+        w = ascii_words(t)
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        x, y = sets[a], sets[b]
+        if x == y or (x & y and len(x & y) >= 0.8 * len(x | y)):
+            root = [root[a] if q == root[b] else q for q in root]
+    best = {}
+    for i, (d, _) in enumerate(rows):
+        best[root[i]] = min(best.get(root[i], (True, 0)), (d is None, d if d is not None else 0))
+    got = [x["doc_id"] for x in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()]
+    assert sorted(got) == sorted(d for _, d in best.values())
+    kept_before = {x["doc_id"] for x in simhash.drop_near_duplicates(df).collect()}
+    assert len(kept_before) > len(got)
