@@ -6,7 +6,8 @@ identity term also has a counterfactual, with every term swapped for another of
 the change in score between the two, so that a term can't raise a score by itself.
 
 Training rows: labelled, not held out, and of these at most `most_rows` of each label, by the hash of their id: that is the
-documented bound of the fit. Scoring covers all rows and whole texts.
+documented bound of the fit. A row weighs as many as it stands for (rows of its label by rows sampled), so the fit is one at the
+labels' true shares whatever the size of the table. Scoring covers all rows and whole texts.
 
 Defined results: a null or empty text gets the score of no features; labels that are null or not 0 or 1 aren't learned from;
 without labels of both kinds every score is the share of toxic labels (0 if none); a null id is scored and not held out;
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, map_texts
+from .common import crc32_mod, cut, map_texts
 
 #: Identity terms by kind; a counterfactual takes the next one of the row.
 IDENTITIES = [
@@ -96,8 +97,8 @@ class Model:
     bias: float
 
 
-def _training_rows(docs: DataFrame, labels: DataFrame, folds: int, most_rows: int) -> DataFrame:
-    """(doc_id, toxic) of the rows to learn from."""
+def _training_rows(docs: DataFrame, labels: DataFrame, folds: int, most_rows: int) -> tuple[DataFrame, list[float]]:
+    """(doc_id, toxic) of the rows to learn from, and how many rows of each label one of them stands for."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(crc32_mod("doc_id", folds) != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -107,12 +108,14 @@ def _training_rows(docs: DataFrame, labels: DataFrame, folds: int, most_rows: in
         share = min(1.0, 1.2 * most_rows / max(1, n.get(y, 0)) + 0.001)
         mine = known.where((F.col("toxic") == y) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
         parts.append(mine.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)), "doc_id").limit(most_rows))
-    return parts[0].union(parts[1])
+    ids = cut(parts[0].union(parts[1]))
+    sampled = {r["toxic"]: r["count"] for r in ids.groupBy("toxic").count().collect()}
+    return ids, [n.get(y, 0) / sampled[y] if y in sampled else 1.0 for y in (0, 1)]
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 10_000, most_features: int = 8192, penalty: float = 1.0) -> Model:
     """Fits the classifier. To the driver come most_features sums and, for each training row, which of them it has."""
-    ids = _training_rows(docs, labels, folds, most_rows)
+    ids, stands_for = _training_rows(docs, labels, folds, most_rows)
     # at most 2 * most_rows ids of 12 bytes
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(F.broadcast(ids), "doc_id")
 
@@ -131,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 1
         yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([rows[1]]), pa.array([rows[0]])], names=["feature", "toxic", "clean"])
 
     counts = texts.select("text", "toxic").mapInArrow(count, "feature long, toxic long, clean long")
-    counts = counts.groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    counts = counts.groupBy("feature").agg((F.sum("toxic") * stands_for[1]).alias("a"), (F.sum("clean") * stands_for[0]).alias("b"), F.sum(F.col("toxic") + F.col("clean")).alias("rows"))
     totals = counts.where("feature = -1").first()
     n1, n0 = (totals["a"], totals["b"]) if totals else (0, 0)
     if not n1 or not n0:
@@ -139,8 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 1
     n = n1 + n0
     gap = F.col("a") * float(n0) - F.col("b") * float(n1)
     both = F.col("a") + F.col("b")
-    chi2 = n * gap * gap / (float(n1) * n0 * both * (n - both) + 1.0)
-    best = counts.where("feature >= 0 and a + b >= 3").orderBy(chi2.desc(), "feature").limit(most_features)
+    chi2 = n * gap * gap / (float(n1) * float(n0) * both * (n - both) + 1.0)
+    best = counts.where("feature >= 0 and rows >= 3").orderBy(chi2.desc(), "feature").limit(most_features)
     chosen = np.array(sorted(r["feature"] for r in best.select("feature").collect()), dtype=np.int64)
     place = {int(f): i for i, f in enumerate(chosen)}
 
@@ -152,33 +155,36 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 1
 
     data = map_texts(texts, ["doc_id", "toxic"], "own binary, swapped binary", rows).orderBy("doc_id").collect()
     unpack = lambda x: None if x is None else np.frombuffer(x, dtype="<i4")
-    weights, bias = fit([unpack(r["own"]) for r in data], [unpack(r["swapped"]) for r in data], np.array([r["toxic"] for r in data], dtype=float), len(chosen), penalty)
+    y = np.array([r["toxic"] for r in data], dtype=float)
+    weights, bias = fit([unpack(r["own"]) for r in data], [unpack(r["swapped"]) for r in data], y, len(chosen), penalty, stands_for=np.where(y == 1, stands_for[1], stands_for[0]))
     return Model(chosen, weights, bias)
 
 
-def fit(own: list[np.ndarray], swapped: list[np.ndarray | None], y: np.ndarray, k: int, penalty: float, steps: int = 250, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(own: list[np.ndarray], swapped: list[np.ndarray | None], y: np.ndarray, k: int, penalty: float, steps: int = 250, ridge: float = 1e-4, stands_for: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the mean logistic loss, a ridge, and penalty times the mean squared change in score under swaps.
 
-    Rows are worked on in blocks, so beside the features themselves little memory is used.
+    Means are weighted by stands_for, or equally without it. Rows are worked on in blocks, so beside the features themselves little memory is used.
     """
     n = len(own)
+    share = np.full(n, 1 / n) if stands_for is None else stands_for / stands_for.sum()
     block = 1000
     own_blocks = [_sparse(own[i : i + block]) for i in range(0, n, block)]
     pairs = np.array([i for i, s in enumerate(swapped) if s is not None], dtype=np.int64)
     pair_blocks = [(pairs[i : i + block], _sparse([own[j] for j in pairs[i : i + block]]), _sparse([swapped[j] for j in pairs[i : i + block]])) for i in range(0, len(pairs), block)]
-    w, b = np.zeros(k), float(np.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6)))
+    pair_share = share[pairs].sum()
+    w, b = np.zeros(k), float(np.log(max(share @ y, 1e-6) / max(1 - share @ y, 1e-6)))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, steps + 1):
         grad, total = ridge * w, 0.0
         for i, (row, col) in enumerate(own_blocks):
             part = y[i * block : (i + 1) * block]
             z = np.bincount(row, weights=w[col], minlength=len(part)) + b
-            error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - part) / n
+            error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - part) * share[i * block : (i + 1) * block]
             grad += np.bincount(col, weights=error[row], minlength=k)
             total += error.sum()
         for ids, (row, col), (row2, col2) in pair_blocks:
             change = np.bincount(row, weights=w[col], minlength=len(ids)) - np.bincount(row2, weights=w[col2], minlength=len(ids))
-            change *= 2 * penalty / len(pairs)
+            change *= 2 * penalty * share[ids] / pair_share
             grad += np.bincount(col, weights=change[row], minlength=k) - np.bincount(col2, weights=change[row2], minlength=k)
         g = np.append(grad, total)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g

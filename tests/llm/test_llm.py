@@ -428,6 +428,14 @@ def test_toxicity(spark):
     assert toxicity.score_documents(df, toxicity.train(df, marks.limit(0)), ["doc_id"]).where("predicted = 1").count() == 0
 
 
+def test_sampled_labels_keep_their_shares(spark):
+    rows = [(i, "the same few words for all") for i in range(1100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 11 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    scores = [toxicity.scorer(toxicity.train(df, marks, most_rows=m))(["the same few words for all"])[0] for m in (5000, 60)]
+    assert abs(scores[0] - 1 / 11) < 0.03 and abs(scores[1] - scores[0]) < 0.03
+
+
 def test_swaps_cost_nothing_in_score():
     own = [np.array([0, 1]), np.array([1]), np.array([2]), np.array([2, 3])] * 20
     swapped = [np.array([0, 4]), np.array([4]), None, None] * 20
