@@ -113,7 +113,7 @@ def _training_rows(docs: DataFrame, labels: DataFrame, folds: int, most_rows: in
     return ids, [n.get(y, 0) / sampled[y] if y in sampled else 1.0 for y in (0, 1)]
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 10_000, most_features: int = 8192, penalty: float = 1.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 20_000, most_features: int = 20_000, penalty: float = 1.0) -> Model:
     """Fits the classifier. To the driver come most_features sums and, for each training row, which of them it has."""
     ids, stands_for = _training_rows(docs, labels, folds, most_rows)
     # at most 2 * most_rows ids of 12 bytes
@@ -146,15 +146,16 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 1
     best = counts.where("feature >= 0 and rows >= 3").orderBy(chi2.desc(), "feature").limit(most_features)
     chosen = np.array(sorted(r["feature"] for r in best.select("feature").collect()), dtype=np.int64)
     place = {int(f): i for i, f in enumerate(chosen)}
+    kind = "<u2" if len(chosen) < 1 << 16 else "<i4"
 
     def rows(texts: list) -> list:
         memory = Memory(lambda w: tuple(place[f] for f in word_features(w) if f in place))
-        pack = lambda words: None if words is None else memory.features(words).astype("<i4").tobytes()
+        pack = lambda words: None if words is None else memory.features(words).astype(kind).tobytes()
         own = [words_of(text) for text in texts]
         return [pa.array([pack(w) for w in own], pa.binary()), pa.array([pack(counterfactual(w)) for w in own], pa.binary())]
 
     data = map_texts(texts, ["doc_id", "toxic"], "own binary, swapped binary", rows).orderBy("doc_id").collect()
-    unpack = lambda x: None if x is None else np.frombuffer(x, dtype="<i4")
+    unpack = lambda x: None if x is None else np.frombuffer(x, dtype=kind)
     y = np.array([r["toxic"] for r in data], dtype=float)
     weights, bias = fit([unpack(r["own"]) for r in data], [unpack(r["swapped"]) for r in data], y, len(chosen), penalty, stands_for=np.where(y == 1, stands_for[1], stands_for[0]))
     return Model(chosen, weights, bias)
@@ -163,40 +164,40 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 1
 def fit(own: list[np.ndarray], swapped: list[np.ndarray | None], y: np.ndarray, k: int, penalty: float, steps: int = 250, ridge: float = 1e-4, stands_for: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the mean logistic loss, a ridge, and penalty times the mean squared change in score under swaps.
 
-    Means are weighted by stands_for, or equally without it. Rows are worked on in blocks, so beside the features themselves little memory is used.
+    Means are weighted by stands_for, or equally without it. Rows are worked on in blocks, so beside the features themselves
+    (two bytes each up to 65,535 of them) little memory is used.
     """
     n = len(own)
     share = np.full(n, 1 / n) if stands_for is None else stands_for / stands_for.sum()
     block = 1000
-    own_blocks = [_sparse(own[i : i + block]) for i in range(0, n, block)]
+    own_blocks = [_sparse(own[i : i + block], k) for i in range(0, n, block)]
     pairs = np.array([i for i, s in enumerate(swapped) if s is not None], dtype=np.int64)
-    pair_blocks = [(pairs[i : i + block], _sparse([own[j] for j in pairs[i : i + block]]), _sparse([swapped[j] for j in pairs[i : i + block]])) for i in range(0, len(pairs), block)]
+    pair_blocks = [(pairs[i : i + block], _sparse([own[j] for j in pairs[i : i + block]], k), _sparse([swapped[j] for j in pairs[i : i + block]], k)) for i in range(0, len(pairs), block)]
     pair_share = share[pairs].sum()
-    w, b = np.zeros(k), float(np.log(max(share @ y, 1e-6) / max(1 - share @ y, 1e-6)))
+    decay = np.append(np.full(k, ridge), 0.0)
+    w = np.append(np.zeros(k), np.log(max(share @ y, 1e-6) / max(1 - share @ y, 1e-6)))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, steps + 1):
-        grad, total = ridge * w, 0.0
-        for i, (row, col) in enumerate(own_blocks):
-            part = y[i * block : (i + 1) * block]
-            z = np.bincount(row, weights=w[col], minlength=len(part)) + b
-            error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - part) * share[i * block : (i + 1) * block]
-            grad += np.bincount(col, weights=error[row], minlength=k)
-            total += error.sum()
-        for ids, (row, col), (row2, col2) in pair_blocks:
-            change = np.bincount(row, weights=w[col], minlength=len(ids)) - np.bincount(row2, weights=w[col2], minlength=len(ids))
+        g = decay * w
+        for i, (begin, lengths, col) in enumerate(own_blocks):
+            at = slice(i * block, (i + 1) * block)
+            z = np.add.reduceat(w[col], begin)
+            error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[at]) * share[at]
+            g += np.bincount(col, weights=np.repeat(error, lengths), minlength=k + 1)
+        for ids, (begin, lengths, col), (begin2, lengths2, col2) in pair_blocks:
+            change = np.add.reduceat(w[col], begin) - np.add.reduceat(w[col2], begin2)
             change *= 2 * penalty * share[ids] / pair_share
-            grad += np.bincount(col, weights=change[row], minlength=k) - np.bincount(col2, weights=change[row2], minlength=k)
-        g = np.append(grad, total)
+            g += np.bincount(col, weights=np.repeat(change, lengths), minlength=k + 1) - np.bincount(col2, weights=np.repeat(change, lengths2), minlength=k + 1)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return w, float(b)
+        w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w[:-1], float(w[-1])
 
 
-def _sparse(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and features of a block of rows."""
-    lengths = [len(r) for r in rows]
-    return np.repeat(np.arange(len(rows), dtype=np.int32), lengths), np.concatenate(rows).astype(np.int32) if rows else np.array([], dtype=np.int32)
+def _sparse(rows: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each row of a block begins, its length, and the features of all; each row ends with feature k, the bias."""
+    lengths = np.array([len(r) + 1 for r in rows], dtype=np.int64)
+    end = np.array([k])
+    return np.cumsum(lengths) - lengths, lengths, np.concatenate([x for r in rows for x in (r, end)]).astype(np.uint16 if k < 1 << 16 else np.int32)
 
 
 def scorer(model: Model):

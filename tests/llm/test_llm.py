@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import itertools
 import math
 import random
@@ -436,6 +437,20 @@ def test_sampled_labels_keep_their_shares(spark):
     assert abs(scores[0] - 1 / 11) < 0.03 and abs(scores[1] - scores[0]) < 0.03
 
 
+def test_bounds_of_the_fit(spark):
+    rows = [(i, f"plain words w{i % 40}" + (" vile" if i % 2 else "")) for i in range(24_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ids, stands_for = toxicity._training_rows(df, df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")), 10**9, inspect.signature(toxicity.train).parameters["most_rows"].default)
+    assert ids.count() >= 23_999 and stands_for == [1.0, 1.0]
+    assert inspect.signature(toxicity.train).parameters["most_features"].default == 20_000
+
+
+def test_fit_takes_rows_without_features():
+    none = np.array([], dtype=np.int64)
+    w, b = toxicity.fit([none, np.array([0]), none, np.array([0])] * 10, [none, None, None, None] * 10, np.array([0.0, 1.0, 0.0, 1.0] * 10), 1, 1.0)
+    assert b < 0 < b + w[0]
+
+
 def test_swaps_cost_nothing_in_score():
     own = [np.array([0, 1]), np.array([1]), np.array([2]), np.array([2, 3])] * 20
     swapped = [np.array([0, 4]), np.array([4]), None, None] * 20
