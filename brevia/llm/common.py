@@ -100,6 +100,12 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def hashable(df: DataFrame) -> list:
+    """The columns that have a hash, in order of their names: all but those that hold maps or variants."""
+    fine = [f.name for f in df.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    return [df[c] for c in sorted(fine)]
+
+
 def crc32_mod(column: str, modulus: int):
     """crc32 of a column's text form modulo a number; null gives null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
