@@ -1,23 +1,31 @@
 """Toxicity: a logistic classifier that is trained to ignore which group a sentence is about.
 
-Features are the words of a text and their letter runs of four and five, present or not, hashed. Feature counts per label
-are taken over the training rows in parallel; those with the strongest chi-square are fitted. Each training text that holds an
-identity term also has a counterfactual, with every term swapped for another of its kind, and the loss adds the square of
-the change in score between the two, so that a term can't raise a score by itself.
+A text's score is a logistic function of the sum of its distinct words' values; a word's value is the sum of the weights of its hashed
+features: the word itself and its runs of four and five bytes. The features whose counts differ most between the labels are fitted, and
+those of all identity terms.
 
-Training rows: labelled, not held out, and of these at most `most_rows` of each label, by the hash of their id: that is the
+Counterfactuals: in each sentence of a labelled text that holds an identity term, each term in turn is swapped for the next one of its
+kind, and the loss adds the square of the change in score. Each term also stands in made neutral sentences, which are
+clean rows and have their swaps, so that terms the labelled texts don't hold are held, too. false_alarms() tells how often a
+neutral sentence about each term is taken for toxic.
+
+Training rows: labelled, not held out, one per id, and of these at most `most_rows` of each label, by the hash of their id: that is the
 documented bound of the fit. A row weighs as many as it stands for (rows of its label by rows sampled), so the fit is one at the
-labels' true shares whatever the size of the table. Scoring covers all rows and whole texts.
+labels' true shares whatever the size of the table. Rows stay on the executors: each step of the fit (L-BFGS) sums the gradient over them
+there. Scoring covers all rows and whole texts.
 
-Defined results: a null or empty text gets the score of no features; labels that are null or not 0 or 1 aren't learned from;
-without labels of both kinds every score is the share of toxic labels (0 if none); a null id is scored and not held out;
-repeated rows are scored each; an empty table gives an empty result.
+Defined results: a null or empty text gets the score of no features; labels that are null or not 0 or 1 aren't learned from, and an id
+labelled both ways counts as toxic; an id that stands on several documents is learned from once, by the least text;
+without labels of both kinds every score is that of the one label there is (0 if none); a null id is scored and not held out; repeated rows are
+scored each; a very long text is read whole; an empty table gives an empty result; columns kept may have any names, but two of one name can't be told apart.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,9 +52,13 @@ IDENTITIES = [
 ]
 SWAP = {w.encode(): row[(i + 1) % len(row)].encode() for row in IDENTITIES for i, w in enumerate(row)}
 
+#: Neutral sentences; each identity term stands in each.
+NEUTRAL = ["i am {}", "many {} people live in this city", "she works with {} friends", "the {} family came to the school today"]
+
 BITS = 20
 _TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-REMEMBERED = 200_000
+_SENTENCE = re.compile(r"[.!?\n]+")
+REMEMBERED = 400_000
 
 
 def words_of(text: str | None) -> set[bytes]:
@@ -55,10 +67,11 @@ def words_of(text: str | None) -> set[bytes]:
 
 
 def word_features(word: bytes) -> list[int]:
-    """Hashed features of a word: itself and its runs of four and five characters, its ends marked."""
-    marked = "^" + word.decode("utf-8", "replace") + "$"
-    runs = {marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1)} | {"=" + marked}
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in runs]
+    """Hashed features of a word: itself and its runs of four and five bytes, its ends marked."""
+    marked = b"^" + word + b"$"
+    runs = {marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1)}
+    runs.add(b"=" + marked)
+    return [zlib.crc32(x) & ((1 << BITS) - 1) for x in runs]
 
 
 class Memory(dict):
@@ -68,24 +81,19 @@ class Memory(dict):
         super().__init__()
         self.fn = fn
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def __missing__(self, word: bytes):
         out = self.fn(word)
         if len(self) < REMEMBERED:
             self[word] = out
         return out
 
-    def features(self, words: set[bytes]) -> np.ndarray:
-        """The distinct features of all words, in order."""
-        found: set[int] = set()
-        for own in map(self.__getitem__, words):
-            if own:
-                found.update(own)
-        return np.sort(np.fromiter(found, dtype=np.int64, count=len(found)))
 
-
-def counterfactual(words: set[bytes]) -> set[bytes] | None:
-    """The words with identity terms swapped; None if there are none."""
-    return {SWAP.get(w, w) for w in words} if not words.isdisjoint(SWAP) else None
+def swaps(text: str | None) -> Iterator[tuple[bytes, bytes]]:
+    """(term, counterpart) of each swap in each sentence; the counterpart is empty where the sentence holds it already."""
+    for sentence in _SENTENCE.split(text or ""):
+        words = words_of(sentence)
+        for w in words & SWAP.keys():
+            yield w, SWAP[w] if SWAP[w] not in words else b""
 
 
 @dataclass(frozen=True)
@@ -113,116 +121,209 @@ def _training_rows(docs: DataFrame, labels: DataFrame, folds: int, most_rows: in
     return ids, [n.get(y, 0) / sampled[y] if y in sampled else 1.0 for y in (0, 1)]
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 20_000, most_features: int = 20_000, penalty: float = 1.0) -> Model:
-    """Fits the classifier. To the driver come most_features sums and, for each training row, which of them it has."""
-    ids, stands_for = _training_rows(docs, labels, folds, most_rows)
-    # at most 2 * most_rows ids of 12 bytes
-    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(F.broadcast(ids), "doc_id")
+def _counted(texts: DataFrame) -> DataFrame:
+    """(kind, a, b, toxic, clean): by feature (kind 0), by swap of two terms (1), and rows by label (2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, terms, held = [0, 0], [Counter(), Counter()], [Counter(), Counter()]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(lambda w: tuple(word_features(w)))
-        seen = np.zeros((2, 1 << BITS), dtype=np.int64)
-        rows = [0, 0]
+        def flush() -> Iterator[pa.RecordBatch]:
+            seen = np.zeros((2, 1 << BITS), dtype=np.int64)
+            for y in (0, 1):
+                for w, n in held[y].items():
+                    seen[y][word_features(w)] += n
+                held[y].clear()
+            f = np.flatnonzero(seen.any(axis=0))
+            none = pa.array([None] * len(f), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(f), np.int64)), pa.array(f), none, none, pa.array(seen[1][f]), pa.array(seen[0][f])], names=names)
+
+        names = ["kind", "feature", "a", "b", "toxic", "clean"]
         for b in batches:
             for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 rows[y] += 1
-                seen[y][memory.features(words_of(text))] += 1
-        found = np.flatnonzero(seen.any(axis=0))
-        for low in range(0, len(found), 100_000):
-            f = found[low : low + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(seen[1][f]), pa.array(seen[0][f])], names=["feature", "toxic", "clean"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([rows[1]]), pa.array([rows[0]])], names=["feature", "toxic", "clean"])
-
-    counts = texts.select("text", "toxic").mapInArrow(count, "feature long, toxic long, clean long")
-    counts = counts.groupBy("feature").agg((F.sum("toxic") * stands_for[1]).alias("a"), (F.sum("clean") * stands_for[0]).alias("b"), F.sum(F.col("toxic") + F.col("clean")).alias("rows"))
-    totals = counts.where("feature = -1").first()
-    n1, n0 = (totals["a"], totals["b"]) if totals else (0, 0)
+                held[y].update(words_of(text))
+                terms[y].update(swaps(text))
+                if len(held[0]) + len(held[1]) > REMEMBERED:
+                    yield from flush()
+        yield from flush()
+        both = sorted(terms[0].keys() | terms[1].keys())
+        out = [(1, None, a.decode(), b.decode(), terms[1][a, b], terms[0][a, b]) for a, b in both] + [(2, None, None, None, rows[1], rows[0])]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=names)
+
+    counts = texts.select("text", "toxic").mapInArrow(run, "kind long, feature long, a string, b string, toxic long, clean long")
+    return counts.groupBy("kind", "feature", "a", "b").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 20_000, most_features: int = 20_000, penalty: float = 1.0, neutral: float = 0.02) -> Model:
+    """Fits the classifier. To the driver come most_features numbers, sums of swaps by pair of terms, and a gradient a step.
+
+    penalty weighs the mean squared change under swaps; neutral is what all made sentences weigh against the labelled rows, and 0
+    leaves them out.
+    """
+    ids, stands_for = _training_rows(docs, labels, folds, most_rows)
+    # at most 2 * most_rows ids of 12 bytes; of documents that share an id one is learned from
+    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(F.broadcast(ids), "doc_id")
+    texts = cut(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
+    counts = cut(_counted(texts))
+    totals = counts.where("kind = 2").first()
+    n1, n0 = (totals["toxic"] * stands_for[1], totals["clean"] * stands_for[0]) if totals else (0, 0)
     if not n1 or not n0:
         return Model(np.array([], dtype=np.int64), np.array([]), 30.0 if n1 else -30.0)
-    n = n1 + n0
-    gap = F.col("a") * float(n0) - F.col("b") * float(n1)
-    both = F.col("a") + F.col("b")
-    chi2 = n * gap * gap / (float(n1) * float(n0) * both * (n - both) + 1.0)
-    best = counts.where("feature >= 0 and rows >= 3").orderBy(chi2.desc(), "feature").limit(most_features)
-    chosen = np.array(sorted(r["feature"] for r in best.select("feature").collect()), dtype=np.int64)
+    # rates by row of each label, and how far apart they are for what their counts vary
+    a, b = F.col("toxic") / totals["toxic"], F.col("clean") / totals["clean"]
+    apart = (a - b) * (a - b) / (a / totals["toxic"] + b / totals["clean"])
+    best = counts.where("kind = 0 and toxic + clean >= 3").orderBy(apart.desc(), "feature").limit(most_features)
+    chosen = {r["feature"] for r in best.select("feature").collect()} | {f for w in SWAP for f in word_features(w)}
+    chosen = np.array(sorted(chosen), dtype=np.int64)
     place = {int(f): i for i, f in enumerate(chosen)}
-    kind = "<u2" if len(chosen) < 1 << 16 else "<i4"
-
-    def rows(texts: list) -> list:
-        memory = Memory(lambda w: tuple(place[f] for f in word_features(w) if f in place))
-        pack = lambda words: None if words is None else memory.features(words).astype(kind).tobytes()
-        own = [words_of(text) for text in texts]
-        return [pa.array([pack(w) for w in own], pa.binary()), pa.array([pack(counterfactual(w)) for w in own], pa.binary())]
-
-    data = map_texts(texts, ["doc_id", "toxic"], "own binary, swapped binary", rows).orderBy("doc_id").collect()
-    unpack = lambda x: None if x is None else np.frombuffer(x, dtype=kind)
-    y = np.array([r["toxic"] for r in data], dtype=float)
-    weights, bias = fit([unpack(r["own"]) for r in data], [unpack(r["swapped"]) for r in data], y, len(chosen), penalty, stands_for=np.where(y == 1, stands_for[1], stands_for[0]))
+    of_word = lambda w: [place[f] for f in word_features(w) if f in place]
+    changes = Counter()
+    for r in counts.where("kind = 1").collect():
+        changes[r["a"].encode(), r["b"].encode()] += r["toxic"] * stands_for[1] + r["clean"] * stands_for[0]
+    made = [s.format(w.decode()) for w in SWAP for s in NEUTRAL] if neutral else []
+    share = neutral * (n1 + n0) / max(1, len(made))
+    for text in made:
+        for pair in swaps(text):
+            changes[pair] += share
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Memory(of_word)
+        for b in batches:
+            own = [np.array([f for w in words_of(t) for f in memory[w]], dtype="<i4").tobytes() for t in b.column("text").to_pylist()]
+            weight = [stands_for[y] for y in b.column("toxic").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), b.column("toxic").cast(pa.int64()), pa.array(weight, pa.float64())], names=["own", "y", "weight"])
+
+    # a few parts whatever the table's: at most 2 * most_rows rows are dealt over them
+    data = cut(texts.select("text", "toxic").mapInArrow(packed, "own binary, y long, weight double").repartition(8))
+    extra = _block([np.array([f for w in words_of(t) for f in of_word(w)], dtype=np.int32) for t in made], np.zeros(len(made)), np.full(len(made), share), len(chosen))
+    pairs = [(np.array(of_word(x) + [-1 - f for f in of_word(y)], dtype=np.int64), n) for (x, y), n in sorted(changes.items())]
+    weights, bias = fit(lambda w: _sums(data, w), extra, pairs, n1, n0, len(chosen), penalty)
     return Model(chosen, weights, bias)
 
 
-def fit(own: list[np.ndarray], swapped: list[np.ndarray | None], y: np.ndarray, k: int, penalty: float, steps: int = 250, ridge: float = 1e-4, stands_for: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the mean logistic loss, a ridge, and penalty times the mean squared change in score under swaps.
+def _block(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, k: int) -> tuple:
+    """Features of rows laid side by side, each row ended by feature k, the bias; where rows begin, their lengths, y and weights."""
+    lengths = np.array([len(r) + 1 for r in rows], dtype=np.int64)
+    end = np.array([k], dtype=np.int32)
+    col = np.concatenate([x for r in rows for x in (r, end)]) if rows else np.zeros(0, dtype=np.int32)
+    return col, np.cumsum(lengths) - lengths, lengths, y, weight
+
+
+def _loss(block: tuple, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """The weighted logistic loss of a block and its gradient."""
+    col, begin, lengths, y, weight = block
+    if not len(lengths):
+        return 0.0, np.zeros(len(w))
+    z = np.add.reduceat(w[col], begin)
+    error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * weight
+    loss = (weight * np.logaddexp(0, np.where(y == 1, -z, z))).sum()
+    return float(loss), np.bincount(col, weights=np.repeat(error, lengths), minlength=len(w))
+
+
+def _sums(data: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """The loss and gradient over rows (own, y, weight), summed part by part on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, gradient = 0.0, np.zeros(len(w))
+        for b in batches:
+            for low in range(0, b.num_rows, 2000):
+                part = b.slice(low, 2000)
+                rows = [np.frombuffer(x, dtype="<i4") for x in part.column("own").to_pylist()]
+                more, g = _loss(_block(rows, part.column("y").to_numpy(), part.column("weight").to_numpy(), len(w) - 1), w)
+                loss, gradient = loss + more, gradient + g
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([gradient.tobytes()])], names=["loss", "gradient"])
 
-    Means are weighted by stands_for, or equally without it. Rows are worked on in blocks, so beside the features themselves
-    (two bytes each up to 65,535 of them) little memory is used.
+    parts = data.mapInArrow(run, "loss double, gradient binary").collect()
+    return sum(r["loss"] for r in parts), np.sum([np.frombuffer(r["gradient"]) for r in parts], axis=0)
+
+
+def fit(sums: Callable, extra: tuple, pairs: list, n1: float, n0: float, k: int, penalty: float, ridge: float = 5e-4, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """Weights and bias of the least mean logistic loss, ridge, and penalty times the mean squared change in score under swaps.
+
+    sums: weights to loss and gradient over the labelled rows. pairs: (features gained, and lost as -1 - f; times).
     """
-    n = len(own)
-    share = np.full(n, 1 / n) if stands_for is None else stands_for / stands_for.sum()
-    block = 1000
-    own_blocks = [_sparse(own[i : i + block], k) for i in range(0, n, block)]
-    pairs = np.array([i for i, s in enumerate(swapped) if s is not None], dtype=np.int64)
-    pair_blocks = [(pairs[i : i + block], _sparse([own[j] for j in pairs[i : i + block]], k), _sparse([swapped[j] for j in pairs[i : i + block]], k)) for i in range(0, len(pairs), block)]
-    pair_share = share[pairs].sum()
-    decay = np.append(np.full(k, ridge), 0.0)
-    w = np.append(np.zeros(k), np.log(max(share @ y, 1e-6) / max(1 - share @ y, 1e-6)))
-    m, v = np.zeros(k + 1), np.zeros(k + 1)
-    for step in range(1, steps + 1):
-        g = decay * w
-        for i, (begin, lengths, col) in enumerate(own_blocks):
-            at = slice(i * block, (i + 1) * block)
-            z = np.add.reduceat(w[col], begin)
-            error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[at]) * share[at]
-            g += np.bincount(col, weights=np.repeat(error, lengths), minlength=k + 1)
-        for ids, (begin, lengths, col), (begin2, lengths2, col2) in pair_blocks:
-            change = np.add.reduceat(w[col], begin) - np.add.reduceat(w[col2], begin2)
-            change *= 2 * penalty * share[ids] / pair_share
-            g += np.bincount(col, weights=np.repeat(change, lengths), minlength=k + 1) - np.bincount(col2, weights=np.repeat(change, lengths2), minlength=k + 1)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return w[:-1], float(w[-1])
-
-
-def _sparse(rows: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each row of a block begins, its length, and the features of all; each row ends with feature k, the bias."""
-    lengths = np.array([len(r) + 1 for r in rows], dtype=np.int64)
-    end = np.array([k])
-    return np.cumsum(lengths) - lengths, lengths, np.concatenate([x for r in rows for x in (r, end)]).astype(np.uint16 if k < 1 << 16 else np.int32)
+    n, swapped = n1 + n0, sum(c for _, c in pairs)
+    rows = n + extra[4].sum()
+    sides = [(np.where(f < 0, -1 - f, f), np.where(f < 0, -1.0, 1.0), c / swapped) for f, c in pairs]
+
+    def target(w: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, g = sums(w)
+        more, h = _loss(extra, w)
+        loss, g = (loss + more) / rows + ridge / 2 * (w[:-1] @ w[:-1]), (g + h) / rows
+        g[:-1] += ridge * w[:-1]
+        for at, sign, c in sides:
+            change = (w[at] * sign).sum()
+            loss += penalty * c * change**2
+            np.add.at(g, at, 2 * penalty * c * change * sign)
+        return loss, g
+
+    w = np.zeros(k + 1)
+    w[-1] = np.log(n1 / n0)
+    return (lambda x: (x[:-1], float(x[-1])))(least(target, w, rounds))
+
+
+def least(target: Callable, x: np.ndarray, rounds: int, memory: int = 10) -> np.ndarray:
+    """L-BFGS with steps halved until the value falls enough; ends where no step helps or after some evaluations."""
+    value, g = target(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    left = rounds
+    while left > 0 and np.abs(g).max() > 1e-7:
+        d, coefficients = -g, []
+        for s, y in reversed(past):
+            coefficients.append((s @ d) / (s @ y))
+            d = d - coefficients[-1] * y
+        if past:
+            s, y = past[-1]
+            d = d * ((s @ y) / (y @ y))
+        for (s, y), a in zip(past, reversed(coefficients), strict=True):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        step = 1.0 if past else min(1.0, 1 / np.abs(g).sum())
+        while left > 0:
+            left -= 1
+            new, h = target(x + step * d)
+            if new <= value + 1e-4 * step * (g @ d):
+                break
+            step /= 4
+        else:
+            break
+        s, y = step * d, h - g
+        x, value, g = x + s, new, h
+        if s @ y > 1e-12:
+            past = [*past, (s, y)][-memory:]
+    return x
 
 
 def scorer(model: Model):
     """A function from a list of texts to their scores, with a memory of words of its own in each task."""
-    place = {int(f): i for i, f in enumerate(model.features)}
-    weights, bias = model.weights, model.bias
-    memory = Memory(lambda w: tuple(place[f] for f in word_features(w) if f in place))
+    values = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    bias = model.bias
+    memory = Memory(lambda w: sum(values.get(f, 0.0) for f in word_features(w)))
 
     def score(texts: list) -> list[float]:
-        z = np.array([bias + weights[memory.features(words_of(text))].sum() for text in texts])
+        z = np.array([bias + sum(map(memory.__getitem__, sorted(words_of(text)))) for text in texts])
         return [float(x) for x in 1 / (1 + np.exp(-np.clip(z, -500, 500)))]
 
     return score
 
 
+def false_alarms(model: Model) -> dict[str, float]:
+    """For each identity term, the share of neutral sentences about it that the model takes for toxic."""
+    score = scorer(model)
+    return {w.decode(): sum(x >= 0.5 for x in score([s.format(w.decode()) for s in NEUTRAL])) / len(NEUTRAL) for w in SWAP}
+
+
 def score_documents(docs: DataFrame, model: Model, keep: list[str], folds: int = 5) -> DataFrame:
-    """The columns kept, held_out, score and predicted of every row. One pass, no shuffle."""
+    """The columns kept, held_out, score and predicted of every row. One pass, no shuffle; a column kept may have one of these names."""
     score = scorer(model)
 
     def run(texts: list) -> list:
         scores = score(texts)
         return [scores, [int(s >= 0.5) for s in scores]]
 
-    held = F.coalesce(crc32_mod("doc_id", folds) == 0, F.lit(False)).alias("held_out")
-    return map_texts(docs.select(*keep, held, "text"), [*keep, "held_out"], "score double, predicted int", run)
+    held = F.coalesce(crc32_mod("doc_id", folds) == 0, F.lit(False)).alias("held")
+    kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]
+    marked = map_texts(docs.select(*kept, held, "text"), [*(f"c{i}" for i in range(len(keep))), "held"], "score double, predicted int", run)
+    return marked.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), F.col("held").alias("held_out"), "score", "predicted")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
