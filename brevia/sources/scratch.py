@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only a single-machine session may fall back to a temporary one."""
+    """The folder named by spark.checkpoint.dir, which all executors share; also where checkpoints go.
+
+    Without that setting a session on a single machine gets a temporary folder; any other session is refused.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         path = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,6 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark can reach it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
 def staged(df: DataFrame, by: str | None = None) -> DataFrame:
     """Writes df as Parquet and reads it again; `by` makes a folder per value, so a reader of one value skips the others."""
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
