@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.readers import table  # noqa: F401  used by the queries
+from ..sources.scratch import dropped, shared_dir
+
 #: What separates words in most contracts: the six ASCII blanks. bytes.split() splits on exactly these.
 BLANKS = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def ascii_words(text: str | None) -> list[bytes]:
     """Lower-cases A-Z only and splits on ASCII blanks; null counts as empty."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -48,26 +47,39 @@ def map_texts(df: DataFrame, keep: Sequence[str], added: str, fn: Callable[[list
     return df.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, named by spark.checkpoint.dir; also where checkpoints go.
-
-    Only a single-machine session without that setting falls back to a temporary folder of its own.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            path = tempfile.mkdtemp(prefix="brevia-")
-        sc.setCheckpointDir(path)
-    return sc.getCheckpointDir()
+#: Folders of the checkpoints made by this process and not yet deleted, oldest first.
+_made: list[str] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _made.append(_folder(out))
+    return out
+
+
+def _folder(checkpointed: DataFrame) -> str:
+    return checkpointed._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the checkpoint of what cut() gave and nothing needs any more."""
+    path = _folder(df)
+    _made.remove(path)
+    dropped(df.sparkSession, path)
+
+
+@contextmanager
+def forgotten(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the checkpoints made meanwhile: what they led to must be written by then."""
+    mark = len(_made)
+    try:
+        yield
+    finally:
+        while len(_made) > mark:
+            dropped(spark, _made.pop())
+        spark.sparkContext._jvm.System.gc()  # the files of shuffles that nothing refers to go with their objects
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -87,19 +99,23 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = check
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.where("v > u").join(_least(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = _least(large)
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v")))
-        stars = cut(small.distinct())
+        last, stars = stars, cut(small.where("u <> v").distinct())
+        forget(last)
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
 
 
+def _least(links: DataFrame) -> DataFrame:
+    """(u, m): the smallest node among each u and its neighbours, dealt anew: so the join with it is of two plain exchanges, of which Spark
+    splits a partition that a centre with very many links makes large."""
+    return links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")).repartition(F.xxhash64("u"))
+
+
 def hashable(df: DataFrame) -> list:
     """The columns that have a hash, in order of their names: all but those that hold maps or variants."""
     fine = [f.name for f in df.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]

@@ -7,7 +7,8 @@ differs in up to `radius` bits agrees under some mask for certain: no link is lo
 
 Defined results: null or word-less texts have fingerprint zero and link like others; shorter texts give one shingle;
 repeated rows and null ids are kept as rows, and an id that is null is never a component's id (a component of null ids
-only has a null id); an empty table gives an empty result.
+only has a null id); an empty table gives an empty result; very long texts are read whole, their shingles in chunks; other columns may
+have any names and types: they are carried, and those that Spark can't hash (maps, variants) don't tell rows apart.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, components, cut, map_texts
+from .common import ascii_words, components, cut, hashable, map_texts
 
 SEED = 42
 #: Fingerprints of one task at most, twice: larger buckets are compared block by block.
@@ -47,8 +48,7 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     def run(texts: list) -> list:
         return [np.array([fingerprint(ascii_words(t), k) for t in texts], dtype=np.uint64).view(np.int64)]
 
-    hashed = F.xxhash64(*[F.col(c) for c in sorted(docs.columns)]).alias("row_hash")
-    return map_texts(docs.select("doc_id", hashed, "text"), ["doc_id", "row_hash"], "fp long", run)
+    return map_texts(docs.select("doc_id", F.xxhash64(*hashable(docs)).alias("row_hash"), "text"), ["doc_id", "row_hash"], "fp long", run)
 
 
 def masks(radius: int, bits: int = 64) -> list[int]:
@@ -93,7 +93,8 @@ def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(radius))]))
     rows = fps.select("fp", keys.alias("at")).select("fp", "at.t", "at.key")
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("t", "key"))).where("n > 1")
+    sizes = cut(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = rows.join(sizes, ["t", "key"])
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("fp", "t"), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
@@ -124,19 +125,23 @@ def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return rows.repartition(*order).sortWithinPartitions(*order).mapInPandas(run, "a long, b long")
 
 
-def components_of(slim: DataFrame, radius: int = 3) -> DataFrame:
-    """slim (doc_id, fp, ...) with root (a fingerprint of the component), no row added or lost."""
-    comps = components(fingerprint_links(slim.select("fp").distinct(), radius))
-    return slim.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def roots_of(fps: DataFrame, radius: int = 3) -> DataFrame:
+    """fps (fp distinct, ...) with root, a fingerprint of the component."""
+    comps = components(fingerprint_links(fps.select("fp"), radius))
+    return fps.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, k: int = 3) -> DataFrame:
-    """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    rooted = components_of(cut(fingerprints(docs, k)), radius)
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
+
+    Components are found over distinct fingerprints, each with its smallest id; documents are joined once, to a written table, so
+    that Spark can split the partition of a fingerprint that very many documents share.
+    """
+    slim = cut(fingerprints(docs, k))
+    rooted = cut(roots_of(cut(slim.groupBy("fp").agg(F.min("doc_id").alias("first"))), radius))
+    least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    found = cut(rooted.join(least, "root").select("fp", "component_id"))
+    return slim.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 3, k: int = 3) -> DataFrame:
@@ -144,7 +149,9 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 3, k: int = 3) -> DataFr
 
     Whole rows are joined once to the ids kept; only fully repeated rows among those are compared again.
     """
-    return keep_one(docs, components_of(cut(fingerprints(docs, k)), radius))
+    slim = cut(fingerprints(docs, k))
+    roots = cut(roots_of(cut(slim.select("fp").distinct()), radius))
+    return keep_one(docs, slim.join(roots, "fp"))
 
 
 def keep_one(docs: DataFrame, rooted: DataFrame) -> DataFrame:
@@ -153,12 +160,14 @@ def keep_one(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_hash", "times")
     best = times.groupBy("root").agg(F.min(key).alias("best"))
     kept = cut(best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.row_hash").alias("kept_hash"), "best.times"))
-    hashed = docs.withColumn("kept_row_hash", F.xxhash64(*[F.col(c) for c in sorted(docs.columns)]))
-    found = hashed.join(
-        kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & (F.col("kept_row_hash") == kept["kept_hash"])
-    )
-    own = [docs[c] for c in docs.columns]  # by reference: the input may have columns of these names
-    once = found.where(kept["times"] == 1).select(own)
+    # the input's columns get names of their own meanwhile, so that none is taken for one made here
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    hashed = docs.select(*(F.col(c).alias(n) for c, n in own.items()), F.xxhash64(*hashable(docs)).alias("kept_hash"))
+    found = hashed.join(kept, F.col(own["doc_id"]).eqNullSafe(kept["kept_id"]) & (hashed["kept_hash"] == kept["kept_hash"]))
+    back = [F.col(n).alias(c) for c, n in own.items()]
+    once = found.where("times = 1").select(back)
     if kept.where("times > 1").isEmpty():
         return once
-    return once.union(found.where(kept["times"] > 1).select(own).dropDuplicates())
+    # rows repeated in full, or but for columns that can't be hashed: any one of them
+    many = found.where("times > 1").drop(kept["kept_hash"]).groupBy("kept_id", "kept_hash").agg(F.first(F.struct(*own.values())).alias("row"))
+    return once.union(many.select(*(F.col(f"row.{n}").alias(c) for c, n in own.items())))
