@@ -49,7 +49,7 @@ def _unit(embeddings) -> np.ndarray:
 
 def centroids_of(classes: DataFrame, k: int) -> dict[int, np.ndarray]:
     """Centroids by number of dimensions, from at most SAMPLE vectors in the order of a hash."""
-    rows = classes.orderBy(F.xxhash64("rep")).select("embedding").limit(SAMPLE).collect()
+    rows = classes.orderBy(F.xxhash64("rep"), "rep").select("embedding").limit(SAMPLE).collect()
     by: dict[int, list] = {}
     for r in rows:
         by.setdefault(len(r[0]), []).append(r[0])
@@ -69,10 +69,10 @@ def cells(classes: DataFrame, centers: dict[int, np.ndarray], angle: float) -> D
                     continue
                 near = _unit(part["embedding"]) @ c.T
                 own = near.argmax(axis=1)
-                apart = np.linalg.norm(c[:, None] - c[None], axis=2)[own]
+                apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))[own]
                 gap = near[np.arange(n), own][:, None] - near
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    border = np.where(apart > 0, np.arcsin(np.clip(gap / apart, 0, 1)), 0.0)
+                    border = np.where(apart > 1e-6, np.arcsin(np.clip(gap / apart, 0, 1)), 0.0)
                 row, cell = np.nonzero(border <= angle + SLACK)
                 out = part.iloc[row].assign(cell=cell, home=cell == own[row])
                 for at in range(0, len(out), 20_000):
@@ -128,8 +128,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, block: i
     vectors = vectors.select("vec_id", "label", "embedding")
     fine = valid_vectors(vectors.where("vec_id is not null and label is not null"))
     fine = fine.where(F.exists("embedding", lambda v: v != 0))
-    classes = fine.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"))
-    classes = cut(classes.withColumn("dim", F.size("embedding")))
+    classes = fine.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("w"))
+    # rep names a class; different vectors may share an id
+    classes = cut(classes.withColumns({"dim": F.size("embedding"), "rep": F.monotonically_increasing_id()}))
     n = classes.agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).first()
     k = max(1, min(most_cells, round(n["n"] / max(1, n["labels"]) / cell_size)))
     homes = cut(cells(classes, centroids_of(classes, k), math.acos(threshold)))
@@ -153,10 +154,11 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, block: i
     found = cut(inner.union(outer).groupBy(*key, "inner", "i", "j").applyInPandas(run, LINKS))
     counts = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     comps = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
-    summary = classes.join(counts, "rep", "left").join(comps, "rep", "left").select(
-        "label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")
-    )
-    linked = fine.join(summary, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    rooted = cut(classes.join(counts, "rep", "left").join(comps, "rep", "left").withColumn("root", F.coalesce("root", "rep")))
+    least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    summary = rooted.join(least, "root").select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component_id")
+    # written, so that Spark can split the partition of a vector with very many copies
+    linked = fine.join(cut(summary), ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     # what is not fine, told by the same conditions
     rest = vectors.where(~F.coalesce(_is_fine(), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
