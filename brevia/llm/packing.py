@@ -167,7 +167,7 @@ def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], capaci
     return best_fit(sorted(displaced, key=lambda i: (-lengths[i], i)), lengths, capacity, child)
 
 
-def evolve(lengths: list[int], capacity: int, elites: list[list[list[int]]], seed: int, population: int = 4, generations: int = 8) -> list[list[int]]:
+def evolve(lengths: list[int], capacity: int, elites: list[list[list[int]]], seed: int, population: int = 6, generations: int = 40) -> list[list[int]]:
     """The fittest packing after some generations; stops at once where no fewer bins are possible."""
     least = -(-sum(lengths) // capacity)
     rng = random.Random(seed)
