@@ -6,7 +6,7 @@ hold a wanted boundary, and refines those intervals until a boundary lies within
 exchanged once.
 
 Defined results: a null text has no bytes and counts 1; repeated rows stay together; null ids are ordinary keys; an
-empty table gives an empty result. Further columns of the input are carried; names made here (shard, slot, size) replace
+empty table gives an empty result; a very long text is one row of its size. Further columns of the input are carried; names made here (shard, slot, size) replace
 those of the input. A group of equal texts is kept whole unless its own size exceeds the tolerance at a boundary.
 """
 
@@ -17,6 +17,8 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import hashable
+
 MIN = -(1 << 63)
 
 
@@ -119,7 +121,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns(
         {
             "k1": F.xxhash64("text"),
-            "k2": F.xxhash64(*[F.col(c) for c in sorted(docs.columns)]),
+            "k2": F.xxhash64(*hashable(docs)),
             "size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1,
         }
     )
