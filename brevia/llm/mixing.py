@@ -190,7 +190,7 @@ def slot_frame(sources: DataFrame, block: int, chunk: int = 1 << 14) -> DataFram
     return parts.mapInArrow(run, SLOTS)
 
 
-def mix(slim: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 256, bucket_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
+def mix(slim: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 256, bucket_rows: int = 5_000) -> tuple[DataFrame, DataFrame]:
     """(placed, uses) of rows (skey, order, size, ...), which should be cheap to read again.
 
     placed: slim with source_size, target, si and start, the row's first word in its source's shuffled order. uses: (si, start, slot, round,

@@ -84,4 +84,27 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_lm_scoring, op3_toxicity, op4_source_mixing, op5_simhash_near_dedup, op6_best_fit_packing, op7_va_file_top_k, op8_histogram_sort_shards, op9_chat_formatting, op10_license_scan)}
-ORACLES: dict[str, str] = {}
+
+_FINE = "len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+
+ORACLES: dict[str, str] = {
+    "op1_embedding_near_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+    WHERE label IS NOT NULL AND {_FINE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+  r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON r.id = l.a),
+  c AS (SELECT id, min(root) AS root FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+  SELECT c.id AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.root AS component_id, c.id = c.root AS kept FROM c LEFT JOIN n ON c.id = n.a""",
+    "op7_va_file_top_k": f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND {_FINE}),
+  p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+  SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20""",
+    "op9_chat_formatting": """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, turn, role, chr(92) || '### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) x(turn, role)),
+  o AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before, length(role) + 4 + 2 + 8 + length(text) + length(text) - length(replace(text, chr(92), ''))
+      + (length(text) - length(replace(text, '</turn>', ''))) // 7 + coalesce(list_sum(list_transform(regexp_extract_all(text, '###+'), lambda x: length(x) - 2)), 0) AS chars FROM t),
+  f AS (SELECT *, CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before = 'system' THEN role = 'user' WHEN before = 'user' THEN role = 'assistant'
+      WHEN before = 'assistant' THEN role IN ('user', 'tool') ELSE before = 'tool' AND role IN ('assistant', 'tool') END AS fits FROM o)
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+    CAST(sum(chars) AS BIGINT) AS formatted_chars, bool_and(fits) AS valid FROM f GROUP BY conv_id""",
+}
