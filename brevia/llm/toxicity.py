@@ -22,8 +22,8 @@ scored each; a very long text is read whole; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -50,6 +50,7 @@ IDENTITIES = [
     "old young".split(),
     "disabled blind deaf".split(),
 ]
+KIND = {w.encode(): [x.encode() for x in row] for row in IDENTITIES for w in row}
 SWAP = {w.encode(): row[(i + 1) % len(row)].encode() for row in IDENTITIES for i, w in enumerate(row)}
 
 #: Neutral sentences; each identity term stands in each.
@@ -59,6 +60,8 @@ BITS = 20
 _TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _SENTENCE = re.compile(r"[.!?\n]+")
 REMEMBERED = 400_000
+#: Words whose features are found at once.
+CHUNK = 50_000
 
 
 def words_of(text: str | None) -> set[bytes]:
@@ -66,26 +69,28 @@ def words_of(text: str | None) -> set[bytes]:
     return set(text.encode("utf-8", "surrogatepass").translate(_TABLE).split()) if text else set()
 
 
-def word_features(word: bytes) -> list[int]:
-    """Hashed features of a word: itself and its runs of four and five bytes, its ends marked."""
-    marked = b"^" + word + b"$"
-    runs = {marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1)}
-    runs.add(b"=" + marked)
-    return [zlib.crc32(x) & ((1 << BITS) - 1) for x in runs]
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Memory(dict):
-    """What a function gives for each word, kept for the first REMEMBERED words."""
-
-    def __init__(self, fn) -> None:
-        super().__init__()
-        self.fn = fn
-
-    def __missing__(self, word: bytes):
-        out = self.fn(word)
-        if len(self) < REMEMBERED:
-            self[word] = out
-        return out
+def features_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, feature), words in order: hashes of each word itself and of its runs of four and five bytes, ends marked."""
+    if not words:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    x = np.frombuffer(b"".join([b"^%b$" % w for w in words]), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+    size = np.array([len(w) + 2 for w in words])
+    begin = np.cumsum(size) - size
+    number, place = np.repeat(np.arange(len(words)), size), np.arange(len(x)) - np.repeat(begin, size)
+    left = size[number] - place
+    powers = np.cumprod(np.full(size.max() + 1, _FACTOR))
+    owners, hashes = [np.arange(len(words))], [np.add.reduceat(x * powers[place], begin)]
+    for n in (4, 5):
+        at = np.flatnonzero(left >= n)
+        owners.append(number[at])
+        hashes.append(sum(x[at + j] * powers[j] for j in range(n)) + powers[0] * np.uint64(n << 8))
+    owner, h = np.concatenate(owners), np.concatenate(hashes)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], h[order].astype(np.int64)
 
 
 def swaps(text: str | None) -> Iterator[tuple[bytes, bytes]]:
@@ -130,8 +135,10 @@ def _counted(texts: DataFrame) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             seen = np.zeros((2, 1 << BITS), dtype=np.int64)
             for y in (0, 1):
-                for w, n in held[y].items():
-                    seen[y][word_features(w)] += n
+                words, times = list(held[y]), np.array(list(held[y].values()), dtype=np.int64)
+                for low in range(0, len(words), CHUNK):
+                    word, feature = features_of(words[low : low + CHUNK])
+                    seen[y] += np.bincount(feature, weights=times[low + word], minlength=1 << BITS).astype(np.int64)
                 held[y].clear()
             f = np.flatnonzero(seen.any(axis=0))
             none = pa.array([None] * len(f), pa.string())
@@ -157,8 +164,8 @@ def _counted(texts: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 20_000, most_features: int = 20_000, penalty: float = 1.0, neutral: float = 0.02) -> Model:
     """Fits the classifier. To the driver come most_features numbers, sums of swaps by pair of terms, and a gradient a step.
 
-    penalty weighs the mean squared change under swaps; neutral is what all made sentences weigh against the labelled rows, and 0
-    leaves them out.
+    penalty weighs the mean squared change under swaps; neutral is what all made sentences weigh against the labelled rows, beside what
+    toxic sentences about their kind weigh, and 0 leaves them out.
     """
     ids, stands_for = _training_rows(docs, labels, folds, most_rows)
     # at most 2 * most_rows ids of 12 bytes; of documents that share an id one is learned from
@@ -173,30 +180,41 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, most_rows: int = 2
     a, b = F.col("toxic") / totals["toxic"], F.col("clean") / totals["clean"]
     apart = (a - b) * (a - b) / (a / totals["toxic"] + b / totals["clean"])
     best = counts.where("kind = 0 and toxic + clean >= 3").orderBy(apart.desc(), "feature").limit(most_features)
-    chosen = {r["feature"] for r in best.select("feature").collect()} | {f for w in SWAP for f in word_features(w)}
+    chosen = {r["feature"] for r in best.select("feature").collect()} | set(features_of(list(SWAP))[1].tolist())
     chosen = np.array(sorted(chosen), dtype=np.int64)
-    place = {int(f): i for i, f in enumerate(chosen)}
-    of_word = lambda w: [place[f] for f in word_features(w) if f in place]
-    changes = Counter()
+
+    def of_words(words: list[bytes]) -> list[np.ndarray]:
+        """The numbers of each word's chosen features."""
+        word, feature = features_of(words)
+        at = np.searchsorted(chosen, feature)
+        mine = chosen[np.minimum(at, len(chosen) - 1)] == feature
+        return np.split(at[mine].astype("<i4"), np.cumsum(np.bincount(word[mine], minlength=len(words)))[:-1]) if words else []
+
+    together = lambda words: np.concatenate([np.zeros(0, dtype="<i4"), *of_words(sorted(words))])
+    changes, blamed = Counter(), Counter()
     for r in counts.where("kind = 1").collect():
         changes[r["a"].encode(), r["b"].encode()] += r["toxic"] * stands_for[1] + r["clean"] * stands_for[0]
-    made = [s.format(w.decode()) for w in SWAP for s in NEUTRAL] if neutral else []
-    share = neutral * (n1 + n0) / max(1, len(made))
-    for text in made:
+        for w in KIND[r["a"].encode()]:
+            blamed[w] += r["toxic"] * stands_for[1]
+    made = [(w, s.format(w.decode())) for w in SWAP for s in NEUTRAL] if neutral else []
+    # toxic sentences about a kind weigh as much as neutral ones about each term of it
+    weigh = [neutral * (n1 + n0) / len(made) + blamed[w] / len(NEUTRAL) for w, _ in made]
+    for (_, text), share in zip(made, weigh, strict=True):
         for pair in swaps(text):
             changes[pair] += share
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(of_word)
         for b in batches:
-            own = [np.array([f for w in words_of(t) for f in memory[w]], dtype="<i4").tobytes() for t in b.column("text").to_pylist()]
-            weight = [stands_for[y] for y in b.column("toxic").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), b.column("toxic").cast(pa.int64()), pa.array(weight, pa.float64())], names=["own", "y", "weight"])
+            for low in range(0, b.num_rows, 500):
+                part = b.slice(low, 500)
+                own = [together(words_of(t)).tobytes() for t in part.column("text").to_pylist()]
+                weight = [stands_for[y] for y in part.column("toxic").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), part.column("toxic").cast(pa.int64()), pa.array(weight, pa.float64())], names=["own", "y", "weight"])
 
     # a few parts whatever the table's: at most 2 * most_rows rows are dealt over them
     data = cut(texts.select("text", "toxic").mapInArrow(packed, "own binary, y long, weight double").repartition(8))
-    extra = _block([np.array([f for w in words_of(t) for f in of_word(w)], dtype=np.int32) for t in made], np.zeros(len(made)), np.full(len(made), share), len(chosen))
-    pairs = [(np.array(of_word(x) + [-1 - f for f in of_word(y)], dtype=np.int64), n) for (x, y), n in sorted(changes.items())]
+    extra = _block([together(words_of(t)) for _, t in made], np.zeros(len(made)), np.array(weigh), len(chosen))
+    pairs = [(np.concatenate([together([x]), -1 - together([y] if y else [])]).astype(np.int64), n) for (x, y), n in sorted(changes.items())]
     weights, bias = fit(lambda w: _sums(data, w), extra, pairs, n1, n0, len(chosen), penalty)
     return Model(chosen, weights, bias)
 
@@ -237,7 +255,7 @@ def _sums(data: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray]:
     return sum(r["loss"] for r in parts), np.sum([np.frombuffer(r["gradient"]) for r in parts], axis=0)
 
 
-def fit(sums: Callable, extra: tuple, pairs: list, n1: float, n0: float, k: int, penalty: float, ridge: float = 5e-4, rounds: int = 40) -> tuple[np.ndarray, float]:
+def fit(sums: Callable, extra: tuple, pairs: list, n1: float, n0: float, k: int, penalty: float, ridge: float = 5e-4, rounds: int = 45) -> tuple[np.ndarray, float]:
     """Weights and bias of the least mean logistic loss, ridge, and penalty times the mean squared change in score under swaps.
 
     sums: weights to loss and gradient over the labelled rows. pairs: (features gained, and lost as -1 - f; times).
@@ -295,13 +313,29 @@ def least(target: Callable, x: np.ndarray, rounds: int, memory: int = 10) -> np.
 
 def scorer(model: Model):
     """A function from a list of texts to their scores, with a memory of words of its own in each task."""
-    values = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
-    bias = model.bias
-    memory = Memory(lambda w: sum(values.get(f, 0.0) for f in word_features(w)))
+    features, weights, bias = model.features, model.weights, model.bias
+    values: dict[bytes, float] = {}
+    table = np.zeros(0)
+
+    def learn(words: list[bytes]) -> None:
+        nonlocal table
+        if not len(table):
+            table = np.zeros(1 << BITS)
+            table[features] = weights
+        for low in range(0, len(words), CHUNK):
+            part = words[low : low + CHUNK]
+            word, feature = features_of(part)
+            values.update(zip(part, np.bincount(word, weights=table[feature], minlength=len(part)).tolist(), strict=True))
 
     def score(texts: list) -> list[float]:
-        z = np.array([bias + sum(map(memory.__getitem__, sorted(words_of(text)))) for text in texts])
-        return [float(x) for x in 1 / (1 + np.exp(-np.clip(z, -500, 500)))]
+        out = []
+        for low in range(0, len(texts), 200):
+            own = [words_of(t) for t in texts[low : low + 200]]
+            learn(list(set().union(*own).difference(values)))
+            out += [bias + math.fsum(map(values.__getitem__, words)) for words in own]
+            if len(values) > REMEMBERED:
+                values.clear()
+        return [float(x) for x in 1 / (1 + np.exp(-np.clip(np.array(out), -500, 500)))]
 
     return score
 
