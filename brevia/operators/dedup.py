@@ -26,16 +26,21 @@ def similarity(a: str, b: str) -> float:
     short, long_ = sorted((len(a), len(b)))
     if not short or short / long_ < LENGTH_SHARE:
         return 0.0
-    m = difflib.SequenceMatcher(None, a[:COMPARED], b[:COMPARED])
+    return compared(a[:COMPARED], b[:COMPARED])
+
+
+def compared(a: str, b: str) -> float:
+    """The matcher's ratio, or its cheap bound from above where that is low already."""
+    m = difflib.SequenceMatcher(None, a, b)
     quick = m.quick_ratio()
     return quick if quick < LENGTH_SHARE else m.ratio()
 
 
 @F.pandas_udf(T.DoubleType())
-def similarity_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """similarity() of two columns; null where either is null."""
+def _compared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """compared() of two columns; null where either is null."""
     for a, b in batches:
-        yield pd.Series([None if x is None or y is None else similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+        yield pd.Series([None if x is None or y is None else compared(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def may_be_similar(a: Column, b: Column) -> Column:
@@ -45,9 +50,9 @@ def may_be_similar(a: Column, b: Column) -> Column:
 
 
 def near_duplicate(a: Column, b: Column, threshold: float = THRESHOLD) -> Column:
-    """Equal texts and hopeless lengths are told by the JVM; the worker sees null for them."""
+    """Equal texts and hopeless lengths are told by the JVM; the worker sees null for them, and of others what is compared alone."""
     maybe = may_be_similar(a, b) & (a != b)
-    seen = similarity_of(F.when(maybe, a), F.when(maybe, b))
+    seen = _compared(F.when(maybe, F.substring(a, 1, COMPARED)), F.when(maybe, F.substring(b, 1, COMPARED)))
     return (a == b) | F.coalesce(seen >= threshold, F.lit(False))
 
 
@@ -106,7 +111,7 @@ def first_equal(df: DataFrame, text: str, order: str, out: str = "first_id") ->
     return df.withColumn("_d", digest).join(first, "_d").drop("_d")
 
 
-def simhash_blake2b(text: str, tokens: list[str], k: int = 3) -> int:
+def simhash_blake2b(tokens: list[str], k: int = 3) -> int:
     """64-bit SimHash over BLAKE2b digests of shingles, as a signed long."""
     if not tokens:
         return 0
@@ -119,7 +124,7 @@ def simhash_blake2b(text: str, tokens: list[str], k: int = 3) -> int:
 @F.pandas_udf(T.LongType())
 def _simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for tokens in batches:
-        yield tokens.map(lambda t: simhash_blake2b("", list(t)))
+        yield tokens.map(lambda t: simhash_blake2b(list(t)))
 
 
 def simhash(text: Column) -> Column:

@@ -17,6 +17,7 @@ class Options:
     min_tokens: int = 300
     redact_secrets: bool = True
     tokenizer: str = "heuristic"
+    vocabulary: str | None = None  # a file of ranks that every executor has, for other tokenizers
     model: str = "default"
     store_dir: str = ".brevia/store"
     store_ttl: int = 86_400

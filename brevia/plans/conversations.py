@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import text_of
 from ..operators.dedup import LENGTH_SHARE, near_duplicate
 from ..options import Options
+from ..sources.scratch import staged
 from .pipeline import compact, reference_of
 
 #: Messages up to this length are never collapsed. A fixed value.
@@ -52,9 +53,9 @@ def repeats(rows: DataFrame) -> DataFrame:
     bucket = F.floor(F.log(F.length("text")) / F.lit(math.log(1 / LENGTH_SHARE)))
     firsts = firsts.withColumn("bucket", bucket)
     late = firsts.where(F.length("text") > REPEAT_LENGTH).withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-    # an equal text's later occurrences find what its first one finds, or the first one itself
+    # an equal text's later occurrences find what its first one finds, or the first one itself, which is before all that follows it
     same_place = (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.bucket") == F.col("b.bucket"))
-    pairs = late.alias("a").join(firsts.alias("b"), same_place).where(F.col("a.pos") != F.col("b.pos"))
+    pairs = late.alias("a").join(firsts.alias("b"), same_place).where(F.col("b.pos") < F.col("a.pos"))
     a, b = F.col("a.text"), F.col("b.text")
     pairs = pairs.where(F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b)) >= LENGTH_SHARE)
     like = pairs.where(near_duplicate(a, b)).select(F.col("a.conv_id").alias("conv_id"), a.alias("text"), F.col("b.pos").alias("like_pos"))
@@ -73,7 +74,8 @@ def compact_conversations(turns: DataFrame, keep_last: int = 4, options: Options
     rows = positions(turns, keep_last)
     if not o.enabled:
         rows = rows.withColumn("protected", F.lit(True))
-    dups = repeats(rows) if o.dedup else rows.limit(0).select("conv_id", "pos", F.col("pos").alias("dup"))
+    # staged: it decides what is compacted and is joined to what comes of that
+    dups = staged(repeats(rows)) if o.dedup else rows.limit(0).select("conv_id", "pos", F.col("pos").alias("dup"))
     rows = rows.join(dups, ["conv_id", "pos"], "left").withColumn("key", F.concat_ws(":", "conv_id", "pos"))
     ref = reference_of(F.col("text"))
     tail = F.concat(F.lit(" — retrieve "), ref, F.lit("]")) if o.reversible else F.lit("]")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.redact import redact
 from ..functions.route import detect
 from ..functions.text import text_of
-from ..functions.tokens import cost, price_per_mtok, token_count
+from ..functions.tokens import cost, count_tokens, price_per_mtok
 from ..operators.code import compact_code
 from ..operators.dedup import dedup_blocks
 from ..operators.fidelity import fidelity, gate
@@ -64,7 +63,7 @@ RESULT = (
 )
 
 
-def compact(df: DataFrame, key: str = "id", text: str = "text", options: Options | None = None, forced_kind: str | None = None, kinds: Callable | None = None) -> DataFrame:
+def compact(df: DataFrame, key: str = "id", text: str = "text", options: Options | None = None, forced_kind: str | None = None) -> DataFrame:
     """One row per payload: key, text (compacted and annotated), original and the columns of RESULT. key must be unique.
 
     Routed rows are staged once by kind, so that each kind's plan reads only its own, and compacted ones once more, for
@@ -72,6 +71,7 @@ def compact(df: DataFrame, key: str = "id", text: str = "text", options: Options
     overrides the routing where it isn't null.
     """
     o = options or Options()
+    token_count = lambda c: count_tokens(c, o.tokenizer, o.vocabulary)
     base = df.select(F.col(key).alias("id"), text_of(F.col(text)).alias("original"), (F.col(forced_kind) if forced_kind else F.lit(None).cast("string")).alias("forced"))
     base = base.withColumn("original_tokens", token_count(F.col("original")))
     big = F.lit(o.enabled) & (F.col("original_tokens") >= o.min_tokens)

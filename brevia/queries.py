@@ -354,13 +354,14 @@ def simhash_blake2b(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", dedup.simhash(F.col("text")).alias("fp"))
 
 
-@query(f"""WITH p AS (SELECT conv_id, turn, hash_of AS a, lag(hash_of) OVER ({W}) AS b FROM (SELECT conv_id, turn, ('0x' || substr(sha256(text), 1, 15))::UBIGINT AS hash_of FROM conversations))
-  SELECT conv_id, turn, bit_count(xor(a, b))::INTEGER AS distance FROM p WHERE b IS NOT NULL""")
+@query(f"""WITH fp AS ({SIMHASH_SQL}), p AS (SELECT doc_id, ('0x' || fp)::UBIGINT AS a, lag(('0x' || fp)::UBIGINT) OVER (ORDER BY doc_id) AS b FROM fp)
+  SELECT doc_id, bit_count(xor(a, b))::INTEGER AS distance FROM p WHERE b IS NOT NULL AND doc_id % 10 > 0""")
 def hamming_pairs(spark, sf_dir):
-    h = F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("long")
-    before = F.lag("h").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = table(spark, sf_dir, "conversations").withColumn("h", h).withColumn("before", before).where("before is not null")
-    return rows.select("conv_id", "turn", hamming(F.col("h"), F.col("before")).alias("distance"))
+    """Neighbouring documents of each ten: bits in which their fingerprints differ."""
+    fps = dedup.simhash_sha256(docs(spark, sf_dir), "doc_id", "text")
+    before = F.lag("fp").over(Window.partitionBy(F.floor(F.col("doc_id") / 10)).orderBy("doc_id"))
+    rows = fps.withColumn("before", before).where("before is not null and doc_id % 10 > 0")
+    return rows.select("doc_id", hamming(F.col("fp"), F.col("before")).alias("distance"))
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents")
@@ -555,7 +556,7 @@ def _digest(rows: DataFrame, key: str) -> DataFrame:
 
 @query()
 def compact_documents(spark, sf_dir):
-    return _digest(compact(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    return _digest(compact(docs(spark, sf_dir), "doc_id", "text"), "doc_id")
 
 
 @query()
@@ -626,31 +627,45 @@ def store_expiry(spark, sf_dir):
     return store.alive(store.latest(_entries(spark, sf_dir)), now, 7 * 3600).select("ref")
 
 
-# ---- telemetry ----
+# ---- whole results of kinds that SQL can follow from end to end, and telemetry over them ----
 
-RESULTS_SQL = f"""SELECT source AS kind, {sql_tokens('text')} AS a, {sql_tokens(sql_norm('text'))} AS b FROM documents"""
+JSON_OUT_SQL = f"""SELECT id, text, '{{"__condensed_records__":' || json_array_length(text)::VARCHAR || ',"keys":"id:int, status:str, priority:str","samples":['
+  || (json_extract(text, '$[0]'))::VARCHAR || ',' || (json_extract(text, '$[1]'))::VARCHAR || '],"elided":' || (json_array_length(text) - 2)::VARCHAR || '}}' AS out FROM ({JSON_SQL})"""
+RESULTS_SQL = f"""{LOG_RUNS_SQL}, res AS (SELECT 'log-' || l.id::VARCHAR AS id, 'log' AS kind, text, CASE WHEN length(short) < length(text) THEN short ELSE text END AS out FROM l LEFT JOIN ou ON l.id = ou.id
+    UNION ALL SELECT 'json-' || id::VARCHAR, 'json', text, out FROM ({JSON_OUT_SQL})),
+  tt AS (SELECT id, unnest({sql_telling('text')}) AS tok, 1 AS o, 0 AS c FROM res UNION ALL SELECT id, unnest({sql_telling('out')}), 0, 1 FROM res),
+  tg AS (SELECT id, tok, sum(o) AS o, sum(c) AS c FROM tt GROUP BY id, tok), tf AS (SELECT id, sum(least(o, c))::DOUBLE / sum(o) AS fidelity FROM tg GROUP BY id HAVING sum(o) > 0),
+  g1 AS (SELECT res.*, coalesce(tf.fidelity, 1) AS fidelity, {sql_tokens('text')} AS a, greatest(0, {sql_tokens('text')} - {sql_tokens('out')}) AS gain FROM res LEFT JOIN tf ON res.id = tf.id),
+  g2 AS (SELECT *, CASE WHEN gain > 0 AND out <> text THEN substr(sha256(text), 1, 12) END AS ref FROM g1),
+  g3 AS (SELECT *, CASE WHEN ref IS NULL THEN out ELSE out || chr(10) || '[brevia:ref ' || ref || ' +' || gain::VARCHAR || ' tokens — retrieve to expand]' END AS final FROM g2),
+  g AS (SELECT *, {sql_tokens('final')} AS b FROM g3)"""
 
 
 def _results(spark, sf_dir):
-    rows = docs(spark, sf_dir).select(F.col("source").alias("kind"), token_count(F.col("text")).alias("original_tokens"), token_count(prose.normalize(F.col("text"))).alias("compressed_tokens"))
-    saved = F.greatest(F.lit(0), F.col("original_tokens") - F.col("compressed_tokens"))
-    return rows.withColumns({"cost_saved_usd": cost(saved, F.lit(2.5)), "fidelity": F.lit(1.0), "reverted": F.lit(False), "secrets": F.lit(0).cast("long")})
+    """What compact() makes of logs and JSON."""
+    parts = [f(spark, sf_dir).select(F.concat(F.lit(f"{name}-"), F.col("id").cast("string")).alias("id"), "text") for name, f in (("log", log_payloads), ("json", json_payloads))]
+    return compact(parts[0].union(parts[1]), "id", "text", Options(min_tokens=0))
 
 
-@query(f"""SELECT 3::BIGINT AS calls, count(*) AS blocks, CAST(sum(a) AS BIGINT) AS original_tokens, CAST(sum(b) AS BIGINT) AS compressed_tokens, CAST(greatest(0, sum(a) - sum(b)) AS BIGINT) AS saved_tokens,
-  round_even((1 - sum(b)::DOUBLE / sum(a)) * 100, 1) AS reduction_pct, round_even(sum(greatest(0, a - b) / 1e6::DOUBLE * 2.5::DOUBLE), 4) AS cost_saved_usd, 1::DOUBLE AS avg_fidelity, 0::BIGINT AS reverted_low_quality, 0::BIGINT AS secrets_redacted FROM ({RESULTS_SQL})""")
+@query(RESULTS_SQL + """ SELECT id, kind, a AS original_tokens, b AS compressed_tokens, greatest(0, a - b) AS saved_tokens, round(fidelity, 6) AS fidelity, ref, false AS reverted, 0::BIGINT AS secrets, sha256(final) AS digest FROM g""")
+def compact_logs_and_json(spark, sf_dir):
+    return _digest(_results(spark, sf_dir), "id")
+
+
+@query(RESULTS_SQL + """ SELECT 3::BIGINT AS calls, count(*) AS blocks, CAST(sum(a) AS BIGINT) AS original_tokens, CAST(sum(b) AS BIGINT) AS compressed_tokens, CAST(greatest(0, sum(a) - sum(b)) AS BIGINT) AS saved_tokens,
+  round_even((1 - sum(b)::DOUBLE / sum(a)) * 100, 1) AS reduction_pct, round_even(sum(greatest(0, a - b) / 1e6::DOUBLE * 2.5::DOUBLE), 4) AS cost_saved_usd, round_even(avg(fidelity), 3) AS avg_fidelity, 0::BIGINT AS reverted_low_quality, 0::BIGINT AS secrets_redacted FROM g""")
 def telemetry(spark, sf_dir):
     return report.telemetry(_results(spark, sf_dir), 3)
 
 
-@query(f"SELECT kind, CAST(sum(a - b) AS BIGINT) AS saved FROM ({RESULTS_SQL}) GROUP BY kind")
+@query(RESULTS_SQL + " SELECT kind, CAST(sum(a - b) AS BIGINT) AS saved FROM g GROUP BY kind")
 def savings_by_kind(spark, sf_dir):
     return report.savings_by_kind(_results(spark, sf_dir))
 
 
-@query(f"""SELECT CASE WHEN grouping(kind) = 1 THEN 'TOTAL' ELSE kind END AS kind, CAST(sum(a) AS BIGINT) AS before, CAST(sum(b) AS BIGINT) AS after, round((1 - sum(b)::DOUBLE / sum(a)) * 100, 9) AS saved_pct,
+@query(RESULTS_SQL + """ SELECT CASE WHEN grouping(kind) = 1 THEN 'TOTAL' ELSE kind END AS kind, CAST(sum(a) AS BIGINT) AS before, CAST(sum(b) AS BIGINT) AS after, round((1 - sum(b)::DOUBLE / sum(a)) * 100, 9) AS saved_pct,
   NULL::DOUBLE AS quality, round((sum(a) - sum(b)) / 1e6::DOUBLE * 2.5::DOUBLE, 9) AS usd_saved, round((sum(a) - sum(b)) / 1e6::DOUBLE * 2.5::DOUBLE * 10000, 9) AS usd_day, round((sum(a) - sum(b)) / 1e6::DOUBLE * 2.5::DOUBLE * 10000 * 30, 9) AS usd_month
-  FROM ({RESULTS_SQL}) GROUP BY ROLLUP (kind)""")
+  FROM g GROUP BY ROLLUP (kind)""")
 def perf_rollup(spark, sf_dir):
     return report.perf_report(_results(spark, sf_dir))
 
