@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import arrow_batch, ascii_words, crc32_mod, cut
 
@@ -407,7 +408,7 @@ def score_parts(docs: DataFrame, v: Vocabulary, e: Endings, model: Model) -> Dat
     documents, a text that is no word and differs between them.
     """
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("h long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word string, times long, seen double, spelled double").fields])
-    made = T.StructType(schema.fields[1:])
+    types = [pa.field(f.name, to_arrow_type(f.dataType)) for f in schema]
     denominator = np.log10(v.tokens + v.distinct + 1.0)
     base = np.append(np.log10(v.counts + 1.0) - denominator, 0.0)
     inner = np.append(inner_scores(v, e), 0.0)
@@ -425,11 +426,11 @@ def score_parts(docs: DataFrame, v: Vocabulary, e: Endings, model: Model) -> Dat
                 lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
                 i = np.array([x for own in words for x in (*(ids.get(w, -1) for w in own), 0)], dtype=np.int64)
                 begin = np.cumsum(lengths) - lengths
-                loose = [(k, Counter(words[k][x] for x in np.flatnonzero(i[begin[k] : begin[k] + lengths[k]] < 0).tolist())) for k in range(len(words))]
                 c = np.where(i >= 0, kinds[i], 0)
                 at = np.flatnonzero(i < 0)
                 owner = np.searchsorted(begin, at, side="right") - 1
-                c[at] = e.numbers([words[k][x] for k, x in zip(owner.tolist(), (at - begin[owner]).tolist(), strict=True)]) + v.own
+                loose = [words[k][x] for k, x in zip(owner.tolist(), (at - begin[owner]).tolist(), strict=True)]
+                c[at] = e.numbers(loose) + v.own
                 p1 = np.concatenate([[0], c[:-1]])
                 p2 = np.concatenate([[0, 0], c[:-2]])[: len(c)]
                 p1[begin], p2[begin] = 0, 0
@@ -439,20 +440,18 @@ def score_parts(docs: DataFrame, v: Vocabulary, e: Endings, model: Model) -> Dat
                 scores = np.add.reduceat(logp + inner[i], begin)
                 bases = np.add.reduceat(base[i], begin)
                 known = np.add.reduceat((i >= 0).astype(np.int64), begin) - int(doubts)
-                rows, source = [], []
-                hs, helds = part.column("h").to_pylist(), part.column("held_out").to_pylist()
-                for k, others in loose:
-                    rows.append((hs[k], helds[k], int(lengths[k]), int(known[k]), float(bases[k]), float(scores[k]), f" {hs[k]} {low + k}", 1, 0.0, 0.0))
-                    source.append(k)
-                    if others:
-                        names = list(others)
-                        kind = e.numbers(names)
-                        spelled = new[kind] * np.exp(e.spelled(names))
-                        for word, a, s in zip(names, each[kind].tolist(), spelled.tolist(), strict=True):
-                            rows.append((hs[k], None, None, None, None, None, word.decode(), others[word], a, s))
-                            source.append(k)
-                columns = arrow_batch(made, list(zip(*rows, strict=True)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(source)), *columns.columns], names=schema.names)
+                n, marks = part.num_rows, [f" {h} {low + k}" for k, h in enumerate(part.column("h").to_pylist())]
+                made = [lengths, known, bases, scores, pa.array(marks), np.ones(n, np.int64), np.zeros(n), np.zeros(n)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), part.column("held_out"), *map(pa.array, made)], names=schema.names)
+                # (document, word) to how often it stands there
+                others = Counter(zip(owner.tolist(), loose, strict=True))
+                if others:
+                    source, names = zip(*others, strict=True)
+                    kind = e.numbers(list(names))
+                    spelled = new[kind] * np.exp(e.spelled(list(names)))
+                    source, none = pa.array(source), [pa.nulls(len(names), f.type) for f in types[2:7]]
+                    made = [pa.array([w.decode() for w in names]), pa.array(list(others.values()), pa.int64()), pa.array(each[kind]), pa.array(spelled)]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(source), part.column("h").take(source), *none, *made], names=schema.names)
 
     return docs.select("doc_id", "h", "held_out", "text").mapInArrow(run, schema)
 
