@@ -81,12 +81,12 @@ def features_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     begin = np.cumsum(size) - size
     number, place = np.repeat(np.arange(len(words)), size), np.arange(len(x)) - np.repeat(begin, size)
     left = size[number] - place
-    powers = np.cumprod(np.full(size.max() + 1, _FACTOR))
+    powers = np.cumprod(np.full(max(size.max(), 5), _FACTOR))
     owners, hashes = [np.arange(len(words))], [np.add.reduceat(x * powers[place], begin)]
     for n in (4, 5):
         at = np.flatnonzero(left >= n)
         owners.append(number[at])
-        hashes.append(sum(x[at + j] * powers[j] for j in range(n)) + powers[0] * np.uint64(n << 8))
+        hashes.append(sum(x[at + j] * powers[j] for j in range(n)) + powers[:1] * np.uint64(n << 8))
     owner, h = np.concatenate(owners), np.concatenate(hashes)
     h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)
     order = np.argsort(owner, kind="stable")

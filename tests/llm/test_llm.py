@@ -599,6 +599,15 @@ def test_gradient_is_that_of_the_loss():
     assert g == pytest.approx([(toxicity._loss(block, w + d)[0] - toxicity._loss(block, w - d)[0]) / 2e-6 for d in step], abs=1e-5)
 
 
+def test_features_of_any_words():
+    for words in ([], [b"a"], [b"ab", b"a"], [b"x" * 5000, b"ab", "ü".encode()]):
+        owner, feature = toxicity.features_of(words)
+        assert len(owner) == len(feature) and sorted(set(owner.tolist())) == list(range(len(words)))
+        for i, w in enumerate(words):  # whatever stands beside a word
+            alone = toxicity.features_of([w])[1]
+            assert feature[owner == i].tolist() == alone.tolist() and len(alone) == 1 + max(0, len(w) - 1) + max(0, len(w) - 2)
+
+
 def test_swaps_by_sentence():
     text = "The women left. Men and women came! An old man\nnothing here"
     assert sorted(toxicity.swaps(text)) == sorted([(b"women", b"men"), (b"men", b""), (b"women", b""), (b"old", b"young"), (b"man", b"woman")])
@@ -724,7 +733,8 @@ def test_pipeline_keeps_the_right_documents(spark, tmp_path):
     size = {r["doc_id"]: len(ascii_words(r["text"])) for r in one.collect()}
     got = ids(mixed)
     assert mixed.columns == df.columns and set(got) <= {i for i, n in size.items() if n} and max(got.values()) <= 2
-    assert sum(n * size[i] for i, n in got.items()) == pytest.approx(1.5 * sum(size.values()), rel=0.1)
+    # whole documents: where a source's last round ends, one of it is rounded
+    assert abs(sum(n * size[i] for i, n in got.items()) - 1.5 * sum(size.values())) <= max(size.values())
     packed = corpus_pipeline.best_fit_packing(spark, mixed, str(tmp_path)).collect()
     assert collections.Counter(r["doc_id"] for r in packed if r["piece"] == 0) == got
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
