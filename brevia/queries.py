@@ -19,7 +19,8 @@ from .plans import conversations as conv
 from .plans import report, services
 from .plans.pipeline import compact, reference_of
 from .sources import store
-from .sources.readers import table
+from .sources.readers import streamed, table
+from .streaming import keyed
 from .streaming.stateful import windowed_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -726,3 +727,39 @@ def message_parts(spark, sf_dir):
 @query(f"SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, CAST(sum({sql_tokens('props')}) AS BIGINT) AS tokens FROM events GROUP BY 1, 2")
 def stream_rollup(spark, sf_dir):
     return windowed_tokens(table(spark, sf_dir, "events"))
+
+
+def sql_lookup(ttl: int) -> str:
+    """What each event that isn't a purchase finds of its user's last purchase, if that is no older than ttl seconds."""
+    last = "OVER (PARTITION BY user_id ORDER BY ts, body IS NULL, event_id ROWS UNBOUNDED PRECEDING)"
+    return f"""WITH e AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'purchase' THEN coalesce(props, '') END AS body FROM events),
+  l AS (SELECT *, last_value(body IGNORE NULLS) {last} AS b, last_value(CASE WHEN body IS NOT NULL THEN ts END IGNORE NULLS) {last} AS t FROM e),
+  f AS (SELECT event_id, user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(t) <= {ttl * 1_000_000} THEN b END AS found FROM l WHERE body IS NULL)
+  SELECT event_id AS id, user_id::VARCHAR AS key, found, found IS NOT NULL AS hit FROM f"""
+
+
+def lookup_events(spark, sf_dir):
+    body = F.when(F.col("event_type") == "purchase", F.coalesce("props", F.lit("")))
+    return streamed(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), body.alias("body"))
+
+
+@query(sql_lookup(86_400))
+def stream_store_entries(spark, sf_dir):
+    found = keyed.drained(keyed.stored_entries(lookup_events(spark, sf_dir), ttl=86_400))
+    return found.select("id", "key", "found", "hit")
+
+
+@query(sql_lookup(3600))
+def stream_response_cache(spark, sf_dir):
+    found = keyed.drained(keyed.cached_responses(lookup_events(spark, sf_dir), ttl=3600, most=1_000_000, slots=64))
+    return found.select("id", "key", "found", "hit")
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM (SELECT conv_id, turn, text FROM conversations UNION ALL
+    SELECT conv_id, turn + 100, text FROM conversations)),
+  f AS (SELECT *, min(pos) OVER (PARTITION BY conv_id, text) AS first FROM p)
+  SELECT conv_id, turn, pos, CASE WHEN length(text) > {conv.REPEAT_LENGTH} AND first < pos THEN first ELSE -1 END AS dup FROM f""")
+def stream_conversation_repeats(spark, sf_dir):
+    turns = streamed(spark, sf_dir, "conversations").withColumn("role", F.lit("user"))
+    turns = turns.withColumn("turn", F.explode(F.array("turn", F.col("turn") + 100))).withColumn("ts", F.timestamp_seconds(F.col("turn") + 1))
+    return keyed.drained(keyed.repeats_so_far(turns, threshold=1.0)).fillna(-1, ["dup"])
