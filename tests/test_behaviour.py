@@ -95,6 +95,18 @@ def test_blocks_collapse(spark):
     assert short[1:] == ["one\n\ntwo", ""]
 
 
+def test_runs_of_blocks_are_those_of_sql(spark, tmp_path):
+    """Blocks that begin or end with their own place, with spaces of all kinds, and gaps that are none."""
+    import oracle
+
+    from brevia import queries as engine
+
+    texts = ["a 0", "0 first\nends in 1\n2 and 22\n2 and 22\n33", "same\n  same \nsame\xa0\n\u2003same\u3000 \n\tsame\nsame\x0b", "x\n\x0b\ny\n\f\ny\n \r\ny", "", " \xa0", None, "\n\n1\n\n1\n\n", "10\n11\n12\n" * 5]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = engine.QUERIES["dedup_blocks_exact"](spark, str(tmp_path)).toPandas()
+    assert oracle.difference(got, oracle.connect(str(tmp_path)).execute(engine.ORACLES["dedup_blocks_exact"]).df()) == ""
+
+
 def test_simhash_brute(spark):
     import hashlib
 
