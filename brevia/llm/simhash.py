@@ -1,4 +1,4 @@
-"""Near-duplicate texts: 64-bit SimHash, linked through covering locality-sensitive hashing.
+"""Near-duplicate texts: 64-bit SimHash, linked through covering locality-sensitive hashing; wide SimHash for looser similarities.
 
 A fingerprint bit is set if it is set in over half of the XXH64 values of the text's word shingles. Candidates come from
 2**(radius+1) - 1 bit masks (Pagh, 2016): bit i carries a non-zero code c(i) of radius+1 bits, and mask v keeps the bits
@@ -9,14 +9,20 @@ Defined results: null or word-less texts have fingerprint zero and link like oth
 repeated rows and null ids are kept as rows, and an id that is null is never a component's id (a component of null ids
 only has a null id); an empty table gives an empty result; very long texts are read whole, their shingles in chunks; other columns may
 have any names and types: they are carried, and those that Spark can't hash (maps, variants) don't tell rows apart.
+
+Sets of shingles that share 0.8 of them differ in about 0.15 of their SimHash bits, too many for masks that prune. Their fingerprints are WIDE
+bits long and are cut to bands of a few bits: sets that agree in a band are a bucket, of some CROWD sets. In a bucket the Hamming
+distance decides. near_groups() gives what must be compared on the sets themselves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +33,11 @@ SEED = 42
 #: Fingerprints of one task at most, twice: larger buckets are compared block by block.
 BLOCK = 2048
 CHUNK = 1 << 16
+#: Bits of wide fingerprints, words of them in a bucket's rows, sets to a bucket, chance that sets at the similarity share no bucket.
+WIDE, CARRIED, CROWD, MISSED = 512, 4, 512, 5e-8
+#: Share of bits that differ at a similarity of 0.8, at most, for sets of less than SMALL and others: ties make it more than the angle does, 0.152.
+SMALL, DIFFER = 18, (0.19, 0.16)
+_STEPS = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(words: list[bytes], k: int = 3) -> int:
@@ -61,6 +72,21 @@ def masks(radius: int, bits: int = 64) -> list[int]:
     return out
 
 
+def _joined(root: np.ndarray, near: np.ndarray, lag: int) -> np.ndarray:
+    """root after links of the positions near to those lag behind."""
+    near = near[root[near] != root[near + lag]]
+    while len(near):
+        a, b = root[near], root[near + lag]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        near = near[root[near] != root[near + lag]]
+    return root
+
+
 def _forest(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within groups of neighbouring rows, thinned to a spanning forest: pairs of positions."""
     root = np.arange(len(fp))
@@ -70,16 +96,7 @@ def _forest(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray,
         at = at[group[at] == group[at + lag]]
         if not len(at):
             break
-        near = at[(np.bitwise_count(fp[at] ^ fp[at + lag]) <= radius) & (root[at] != root[at + lag])]
-        while len(near):
-            a, b = root[near], root[near + lag]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while True:
-                up = root[root]
-                if (up == root).all():
-                    break
-                root = up
-            near = near[root[near] != root[near + lag]]
+        root = _joined(root, at[np.bitwise_count(fp[at] ^ fp[at + lag]) <= radius], lag)
         lag += 1
     linked = np.flatnonzero(root != np.arange(len(fp)))
     return linked, root[linked]
@@ -131,6 +148,120 @@ def roots_of(fps: DataFrame, radius: int = 3) -> DataFrame:
     return fps.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of WIDE bits of a set, given as 64-bit hashes; signed. Each hash is mixed to a word for each 64 bits."""
+    votes = np.zeros(WIDE, dtype=np.int64)
+    for at in range(0, len(hashes), 255):  # so many votes fit a byte
+        x = hashes[at : at + 255, None] + _STEPS
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        votes += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.int64)
+
+
+def within(bits: int, size: np.ndarray) -> np.ndarray:
+    """How many of so many bits differ at a similarity of 0.8 at most, but for some 1 in 10**8 pairs; by the smaller set's size."""
+    most = [math.ceil(bits * q + 6 * math.sqrt(bits * q * (1 - q))) for q in DIFFER]
+    return np.where(size < SMALL, *most)
+
+
+def bands(sets: int, similarity: float) -> np.ndarray:
+    """The bits of each band, for so many sets: one row a band. Few sets are one bucket, of no bits.
+
+    Long texts of equal size at the similarity agree in a bit with the probability 1 - angle / pi; the angle's cosine is 2 * similarity / (1 + similarity).
+    """
+    bits = max(0, math.ceil(math.log2(max(1, sets) / CROWD)))
+    if not bits:
+        return np.zeros((1, 0), dtype=np.int64)
+    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    count, each = math.ceil(math.log(MISSED) / math.log1p(-(agree**bits))), WIDE // bits
+    rng = np.random.default_rng(SEED)
+    return np.concatenate([rng.permutation(WIDE)[: each * bits].reshape(each, bits) for _ in range(-(-count // each))])[:count]
+
+
+def _near_heads(group: np.ndarray, size: np.ndarray, fp: np.ndarray, similarity: float) -> np.ndarray:
+    """For rows by group and size: the first row that each is joined to by pairs of a group whose sizes and fingerprints (words, rows) are near."""
+    half, limits = CARRIED // 2, (within(32 * CARRIED, size), within(64 * CARRIED, size))
+    root = np.arange(len(size))
+    at, lag = root, 1
+    while True:
+        at = at[at + lag < len(size)]
+        at = at[(group[at] == group[at + lag]) & (size[at] >= similarity * size[at + lag])]
+        if not len(at):
+            return root
+        near, far = at, 0
+        for words, limit in zip((fp[:half], fp[half:]), limits, strict=True):
+            far = far + sum(np.bitwise_count(w[near] ^ w[near + lag]).astype(np.int16) for w in words)
+            few = far <= limit[near]
+            near, far = near[few], far[few]
+        root = _joined(root, near, lag)
+        lag += 1
+
+
+def cells(fp: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The buckets of fingerprints (rows, words), one a band of bands(), in the bands' order."""
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
+    cell = np.tile(np.arange(len(at), dtype=np.int64) << 40, (len(fp), 1))
+    for i in range(at.shape[1]):
+        cell |= bits[:, at[:, i]].astype(np.int64) << i
+    return cell
+
+
+def near_groups(sets: DataFrame, at: np.ndarray, similarity: float = 0.8) -> DataFrame:
+    """(cell, key, node): groups of sets (node, size, fp of WIDE bits) such that all pairs at the similarity or above share one, but for MISSED.
+
+    at is bands() of their number; cell is the bucket and key the group.
+    A bucket of more than BLOCK sets is cut as in fingerprint_links(). A group joins what is near in a bucket by size and Hamming distance.
+    """
+    words = [f"w{i}" for i in range(CARRIED)]
+    schema = f"node long, size int, {', '.join(f'{w} long' for w in words)}, cells array<long>"
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column("fp").flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDE // 64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * len(at)), pa.array(cells(fp, at).ravel()))
+            columns = [b.column("node"), b.column("size"), *(pa.array(fp[:, i]) for i in range(CARRIED)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", *words, "cells"])
+
+    rows = sets.select("node", "size", "fp").mapInArrow(dealt, schema).select("node", "size", *words, F.explode("cells").alias("cell"))
+    crowded = cut(rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
+    part = F.lit(0).cast("long")
+    if not crowded.isEmpty():
+        rows = rows.join(crowded, "cell", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "cell"), F.col("blocks")))
+        other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
+            F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != F.col("own"))))
+        rows = rows.withColumn("other", other)
+        part = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
+    rows = rows.select("cell", part.alias("part"), "size", "node", *words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] | None = None
+
+        def groups(c: list[np.ndarray]) -> pa.RecordBatch:
+            cell, part, size, node = c[:4]
+            group = np.concatenate([[0], np.cumsum((cell[1:] != cell[:-1]) | (part[1:] != part[:-1]))])
+            head = _near_heads(group, size, np.stack(c[4:]).view(np.uint64), similarity)
+            many = np.bincount(head)[head] > 1
+            return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (cell, part, node[head], node)], names=["cell", "part", "head", "node"])
+
+        for b in batches:
+            c = [x.to_numpy(zero_copy_only=False) for x in b.columns]
+            c = c if kept is None else [np.concatenate(x) for x in zip(kept, c, strict=True)]
+            if not len(c[0]):
+                continue
+            last = (c[0] == c[0][-1]) & (c[1] == c[1][-1])
+            kept = [x[last] for x in c]
+            if not last.all():
+                yield groups([x[~last] for x in c])
+        if kept is not None and len(kept[0]):
+            yield groups(kept)
+
+    found = rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "size").mapInArrow(run, "cell long, part long, head long, node long")
+    return found.select("cell", F.xxhash64("cell", "part", "head").alias("key"), "node")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, k: int = 3) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 

@@ -791,3 +791,62 @@ def test_near_texts_of_the_pipeline_brute(spark):
     assert sorted(got) == sorted(d for _, d in best.values())
     kept_before = {x["doc_id"] for x in simhash.drop_near_duplicates(df).collect()}
     assert len(kept_before) > len(got)
+
+
+def test_pipeline_finds_near_texts_by_simhash(spark, monkeypatch):
+    """The stage compares what near_groups() joins by fingerprints of many bands and cut buckets, and loses no near pair."""
+    import corpus_pipeline
+    from brevia.llm import jaccard
+
+    monkeypatch.setattr(simhash, "CROWD", 16)
+    monkeypatch.setattr(simhash, "BLOCK", 24)
+    monkeypatch.setattr(jaccard, "BLOCK", 24)
+    r = random.Random(17)
+    words = ["".join(r.choices("abcdefghijkl", k=6)) for _ in range(900)]
+    texts = []
+    for g in range(60):
+        text = r.choices(words, k=r.choice([8, 9, 12, 60, 200]) if g else 200)
+        texts.append(" ".join(text))
+        for _ in range(2 if g else 40):  # one large group of near copies
+            one = list(text)
+            for _ in range(r.randint(0, 2)):
+                one[r.choice([0, len(one) // 2, -1])] = r.choice(words)
+            texts.append(" ".join(one))
+    sets = {}
+    for t in texts:
+        node, size, fp = jaccard.signature(jaccard.shingles_of(t))
+        sets[node] = (jaccard.shingles_of(t), size, fp)
+    some = next(iter(sets.values()))
+    mix = lambda x: (x ^ x >> 31)
+    votes = [0] * simhash.WIDE
+    for s in some[0]:
+        for w in range(simhash.WIDE // 64):
+            x = (xxhash.xxh64_intdigest(s, simhash.SEED) + (w + 1) * 0x9E3779B97F4A7C15) % (1 << 64)
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+            x = mix((x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64))
+            for b in range(64):
+                votes[64 * w + b] += x >> b & 1
+    want = [sum(1 << b for b in range(64) if 2 * votes[64 * w + b] > len(some[0])) for w in range(simhash.WIDE // 64)]
+    assert some[2].view(np.uint64).tolist() == want
+
+    df = spark.createDataFrame([(n, s[1], s[2].tolist()) for n, s in sets.items()], "node long, size int, fp array<long>")
+    at = simhash.bands(len(sets), 0.8)
+    assert at.shape[1] >= 3 and len(at) > 10
+    grouped = collections.defaultdict(set)
+    for x in simhash.near_groups(df, at).collect():
+        grouped[x["node"]].add(x["key"])
+    near = [(a, b) for a, b in itertools.combinations(sets, 2) if jaccard.is_near(sets[a][0], sets[b][0], 0.8)]
+    assert len(near) > 100 and all(grouped[a] & grouped[b] for a, b in near)
+    assert len(grouped) < len(sets)  # most unlike texts are told apart by their bits
+
+    calls = []
+    monkeypatch.setattr(jaccard, "near_groups", lambda *a, **k: calls.append(1) or simhash.near_groups(*a, **k))
+    root = {n: n for n in sets}
+    for a, b in near:
+        a, b = root[a], root[b]
+        root = {n: a if x == b else x for n, x in root.items()}
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(root[jaccard.signature(jaccard.shingles_of(t))[0]], i)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()) == sorted(first.values()) and calls == [1]
